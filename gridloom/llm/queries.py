@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import dedup_lines
+from .quality_rules import judge_quality
 
 #: The six white-space characters as a DuckDB expression.
 SQL_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -42,5 +43,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(documents(spark, sf_dir, "lang", "source"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLES = {"op1_line_dedup": OP1_SQL}
