@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import dedup_lines
 from .quality_rules import judge_quality
+from .secret_scan import BASE, scan_secrets
 
 #: The six white-space characters as a DuckDB expression.
 SQL_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -51,8 +52,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_secrets(documents(spark, sf_dir))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
+    text = lambda found: F.array_join(
+        F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return scanned.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(text(base), 256).alias("base_sha256"),
+        text(spans).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL}
