@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encode_bpe
 from .common import table
 from .line_dedup import dedup_lines
 from .quality_rules import judge_quality
@@ -52,6 +53,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer() -> tuple[str, str]:
+    """The default rank file and splitting pattern; both are parameters of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_bpe(documents(spark, sf_dir), *tokenizer(), want_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_secrets(documents(spark, sf_dir))
     spans = F.col("spans")
@@ -70,6 +83,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
 }
