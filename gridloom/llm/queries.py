@@ -10,6 +10,7 @@ from .common import table
 from .line_dedup import dedup_lines
 from .quality_rules import judge_quality
 from .secret_scan import BASE, scan_secrets
+from .simhash import near_duplicates
 
 #: The six white-space characters as a DuckDB expression.
 SQL_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -81,10 +82,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_simhash": op10_simhash,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL}
