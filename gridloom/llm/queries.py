@@ -11,6 +11,7 @@ from .line_dedup import dedup_lines
 from .quality_rules import judge_quality
 from .secret_scan import BASE, scan_secrets
 from .simhash import near_duplicates
+from .substring_dedup import dedup_substrings
 
 #: The six white-space characters as a DuckDB expression.
 SQL_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -54,6 +55,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def tokenizer() -> tuple[str, str]:
     """The default rank file and splitting pattern; both are parameters of the operator."""
     import public_tokenizers
@@ -88,6 +95,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
