@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_bpe
 from .common import table
 from .line_dedup import dedup_lines
+from .media_columns import media_columns
 from .quality_rules import judge_quality
 from .secret_scan import BASE, scan_secrets
 from .simhash import near_duplicates
@@ -48,6 +49,19 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        F.col("length").alias("media_bytes"),
+        "media_sha256",
+        "feature",
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(documents(spark, sf_dir, "lang", "source"))
     return judged.select(
@@ -98,6 +112,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op8_media_columns": op8_media_columns,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
