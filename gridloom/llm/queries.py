@@ -12,6 +12,7 @@ from .media_columns import media_columns
 from .quality_rules import judge_quality
 from .secret_scan import BASE, scan_secrets
 from .simhash import near_duplicates
+from .source_mix import mix_sources, taken
 from .substring_dedup import dedup_substrings
 
 #: The six white-space characters as a DuckDB expression.
@@ -49,6 +50,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix_sources(documents(spark, sf_dir, "source"))).select(
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir)).select(
         "doc_id",
@@ -112,6 +119,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op7_source_mix": op7_source_mix,
     "op8_media_columns": op8_media_columns,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
