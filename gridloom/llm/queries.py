@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_bpe
 from .common import table
+from .labelled import remainder
 from .line_dedup import dedup_lines
 from .media_columns import media_columns
+from .quality_model import score_quality
 from .quality_rules import judge_quality
 from .secret_scan import BASE, scan_secrets
 from .simhash import near_duplicates
 from .source_mix import mix_sources, taken
 from .substring_dedup import dedup_substrings
+from .toxicity import score_toxicity
 
 #: The six white-space characters as a DuckDB expression.
 SQL_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -94,6 +97,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    part = remainder("doc_id", 3)
+    scored = score_quality(documents(spark, sf_dir), labels, train=part != 1)
+    return judged(scored, part == 1)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    part = remainder("doc_id", 5)
+    scored = score_toxicity(documents(spark, sf_dir), labels, train=part != 0)
+    return judged(scored, part == 0)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_secrets(documents(spark, sf_dir))
     spans = F.col("spans")
@@ -118,7 +144,9 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality_model": op4_quality_model,
     "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_source_mix": op7_source_mix,
     "op8_media_columns": op8_media_columns,
     "op9_quality_rules": op9_quality_rules,
