@@ -36,12 +36,13 @@ def stem_number(stem: Column, tag: str) -> Column:
     return F.when(found != "", F.replace(found, F.lit("p"), F.lit(".")).cast("double"))
 
 
-def sample_prefix(cls: Column, scene: Column, object_id: Column) -> Column:
-    return F.concat(F.lit("cls_"), cls, F.lit("_habitat_scene_"), scene, F.lit("_objid_"), object_id.cast("string"))
+def sample_prefix(cls: Column, scene: Column, object_id: Column, infix: str = "_scene_") -> Column:
+    """cls_<class><infix><scene>_objid_<id>; infix is what a data set's files have there."""
+    return F.concat(F.lit("cls_"), cls, F.lit(infix), scene, F.lit("_objid_"), object_id.cast("string"))
 
 
-def class_of_prefix(stem: Column) -> Column:
-    return F.regexp_extract(stem, "^cls_(.*?)_habitat_scene_", 1)
+def class_of_prefix(stem: Column, infix: str = "_scene_") -> Column:
+    return F.split_part(F.regexp_replace(stem, "^cls_", ""), F.lit(infix), F.lit(1))
 
 
 def episode_id(scene: Column, object_id: Column) -> Column:
