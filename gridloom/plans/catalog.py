@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import choose, space
+
+QUERIES = {**choose.QUERIES, **space.QUERIES}
+ORACLES = {**choose.ORACLES, **space.ORACLES}
