@@ -5,10 +5,11 @@ content.  A shard is a plain tar file in a shared folder; rows carry digest, sha
 length.  Range reads of the first 33 bytes fill the metadata columns, and only what needs the
 samples reads a whole member.
 
-Payloads are compressed before they are shuffled, and a task sends each content once, so one
-text in a third of all rows is a single member that costs one copy per task on its way.  A
-shard is written under a name of the task attempt and renamed when complete; its members are in
-the order of their digests, so a second attempt writes the same file.
+A task writes a shard of its own as it reads its rows, each content once, so payloads are never
+shuffled and one text in a third of all rows costs one copy per task.  The index then keeps one
+place for each digest, the first by shard and offset; what other shards hold of it is not
+referred to.  A shard's name has the task attempt in it and its rows of the index are written by
+that attempt, so what a lost one leaves is not referred to either.
 """
 
 from __future__ import annotations
@@ -106,38 +107,9 @@ def _address(batches):
         )
 
 
-def _encode(batches):
-    """(digest, media) of each content that the task meets for the first time."""
-    import pyarrow as pa
-
-    sent: set[bytes] = set()
-    for batch in batches:
-        out, size = [], 0
-        for t in _bytes(batch):
-            p = payload_of(t)
-            d = hashlib.sha256(p).digest()
-            if d in sent:
-                continue
-            if len(sent) >= REMEMBERED:
-                sent.clear()
-            sent.add(d)
-            out.append((d, to_png(p)))
-            size += len(out[-1][1])
-            if size > 8_000_000:
-                yield _pairs(pa, out)
-                out, size = [], 0
-        if out:
-            yield _pairs(pa, out)
-
-
-def _pairs(pa, rows):
-    return pa.RecordBatch.from_arrays(
-        [pa.array([d for d, _ in rows], pa.binary()), pa.array([m for _, m in rows], pa.binary())],
-        names=["digest", "media"],
-    )
-
-
 def _write_shard(folder: str):
+    """(digest, shard, offset, length) of each content that the task meets for the first time."""
+
     def run(batches):
         import tarfile
 
@@ -146,37 +118,40 @@ def _write_shard(folder: str):
 
         context = TaskContext.get()
         files, top = _filesystem(folder)
-        shard = f"shard-{context.partitionId():06d}.tar"
-        attempt = f"{top}/.{shard}.{context.taskAttemptId()}"
+        shard = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}.tar"
         stream, at = None, 0
-        rows = []
+        sent: set[bytes] = set()
         for batch in batches:
-            for d, m in zip(batch.column("digest"), batch.column("media"), strict=True):
+            rows = []
+            for t in _bytes(batch):
+                p = payload_of(t)
+                d = hashlib.sha256(p).digest()
+                if d in sent:
+                    continue
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.add(d)
                 if stream is None:
                     files.create_dir(top, recursive=True)
-                    stream = files.open_output_stream(attempt)
-                media = m.as_py()
-                info = tarfile.TarInfo(d.as_py().hex() + ".png")
+                    stream = files.open_output_stream(f"{top}/{shard}")
+                media = to_png(p)
+                info = tarfile.TarInfo(d.hex() + ".png")
                 info.size = len(media)
-                stream.write(info.tobuf(tarfile.USTAR_FORMAT))
-                stream.write(media)
-                stream.write(b"\0" * (-len(media) % 512))
-                rows.append((d.as_py(), at + 512, len(media)))
+                stream.write(info.tobuf(tarfile.USTAR_FORMAT) + media + b"\0" * (-len(media) % 512))
+                rows.append((d, at + 512, len(media)))
                 at += 512 + len(media) + -len(media) % 512
-        if stream is None:
-            return
-        stream.write(b"\0" * 1024)
-        stream.close()
-        files.move(attempt, f"{top}/{shard}")
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.binary()),
-                pa.array([shard] * len(rows), pa.string()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.int64()),
-            ],
-            names=["digest", "shard", "offset", "length"],
-        )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in rows], pa.binary()),
+                    pa.array([shard] * len(rows), pa.string()),
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.int64()),
+                ],
+                names=["digest", "shard", "offset", "length"],
+            )
+        if stream is not None:
+            stream.write(b"\0" * 1024)
+            stream.close()
 
     return run
 
@@ -255,17 +230,12 @@ def _with_longs(schema: StructType, *names: str) -> StructType:
 
 def store(packed: DataFrame, folder: str) -> DataFrame:
     """Writes the tar shards; (digest, shard, offset, length) of each content."""
-    contents = (
-        packed.select("text")
-        .mapInArrow(_encode, "digest binary, media binary")
-        .groupBy("digest")
-        .agg(F.first("media").alias("media"))
-        .sortWithinPartitions("digest")
-    )
-    index = contents.mapInArrow(
+    members = packed.select("text").mapInArrow(
         _write_shard(folder), "digest binary, shard string, offset long, length long"
     )
-    return written(index, "media-index")
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    found = written(members, "media-index").groupBy("digest").agg(place)
+    return found.select("digest", "place.shard", "place.offset", "place.length")
 
 
 def by_shard(index: DataFrame) -> DataFrame:
