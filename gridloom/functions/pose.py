@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbers import bind
+
 PI = math.pi
 
 
@@ -73,6 +75,10 @@ def quaternion(w, x, y, z) -> Column:
 
 
 def multiply(a: Column, b: Column) -> Column:
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda p: _product(p["a"], p["b"]))
+
+
+def _product(a: Column, b: Column) -> Column:
     return quaternion(
         a["w"] * b["w"] - a["x"] * b["x"] - a["y"] * b["y"] - a["z"] * b["z"],
         a["w"] * b["x"] + a["x"] * b["w"] + a["y"] * b["z"] - a["z"] * b["y"],
@@ -90,6 +96,10 @@ def quaternion_from_rpy(roll: Column, pitch: Column, yaw: Column) -> Column:
 
 def rotation_matrix(q: Column) -> Column:
     """Nine numbers, row by row, of a unit quaternion."""
+    return bind(q, _matrix)
+
+
+def _matrix(q: Column) -> Column:
     w, x, y, z = (q[c] for c in "wxyz")
     return F.array(
         1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
@@ -100,6 +110,10 @@ def rotation_matrix(q: Column) -> Column:
 
 def rpy_from_matrix(m: Column) -> Column:
     """(roll, pitch, yaw); yaw is an arc sine and lies in [-pi/2, pi/2]."""
+    return bind(m, _rpy)
+
+
+def _rpy(m: Column) -> Column:
     at = lambda r, c: F.get(m, F.lit(3 * r + c))
     sine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at(0, 2)))
     yaw = F.asin(sine)
@@ -111,6 +125,10 @@ def rpy_from_matrix(m: Column) -> Column:
 
 def quaternion_from_matrix(m: Column) -> Column:
     """The unit quaternion with w >= 0 of a rotation matrix."""
+    return bind(m, _unit_quaternion)
+
+
+def _unit_quaternion(m: Column) -> Column:
     at = lambda r, c: F.get(m, F.lit(3 * r + c))
     part = lambda s: F.sqrt(F.greatest(F.lit(0.0), s)) / 2
     sign = lambda s: F.when(s < 0, -1.0).otherwise(1.0)
@@ -123,75 +141,100 @@ def quaternion_from_matrix(m: Column) -> Column:
 
 def rotate(q: Column, v: tuple[Column, Column, Column]) -> Column:
     """A vector turned by a unit quaternion."""
-    m = rotation_matrix(q)
-    return matrix_vector(m, v)
+    return matrix_vector(rotation_matrix(q), v)
 
 
 def matrix_vector(m: Column, v: tuple[Column, Column, Column]) -> Column:
-    row = lambda r: sum((F.get(m, F.lit(3 * r + c)) * v[c] for c in range(3)), F.lit(0.0))
-    return F.struct(row(0).alias("x"), row(1).alias("y"), row(2).alias("z"))
+    def product(p: Column) -> Column:
+        row = lambda r: sum((F.get(p["m"], F.lit(3 * r + c)) * p[f"v{c}"] for c in range(3)), F.lit(0.0))
+        return F.struct(row(0).alias("x"), row(1).alias("y"), row(2).alias("z"))
+
+    return bind(F.struct(m.alias("m"), *[x.alias(f"v{i}") for i, x in enumerate(v)]), product)
 
 
 def camera_matrix(position: Column, q: Column) -> Column:
     """A 4 x 4 pose matrix, row by row, from a place (x, y, z) and a quaternion."""
-    m = rotation_matrix(q)
-    rows = [[F.get(m, F.lit(3 * r + c)) for c in range(3)] + [position[k]] for r, k in enumerate("xyz")]
-    return F.array(*[v for row in rows for v in row], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+
+    def cells(m: Column) -> Column:
+        rows = [[F.get(m, F.lit(3 * r + c)) for c in range(3)] + [position[k]] for r, k in enumerate("xyz")]
+        return F.array(*[v for row in rows for v in row], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+
+    return bind(rotation_matrix(q), cells)
 
 
 def swap_axes(m: Column) -> Column:
     """A 4 x 4 pose with y up and -z ahead as one with x ahead and z up, and back by symmetry."""
     order, signs = (2, 0, 1, 3), (-1.0, -1.0, 1.0, 1.0)
-    return F.array(*[F.get(m, F.lit(4 * order[r] + order[c])) * signs[r] * signs[c] for r in range(4) for c in range(4)])
+    at = lambda m, r, c: F.get(m, F.lit(4 * order[r] + order[c])) * signs[r] * signs[c]
+    return bind(m, lambda m: F.array(*[at(m, r, c) for r in range(4) for c in range(4)]))
+
+
+def _vector(*xyz: Column) -> Column:
+    return F.struct(*[v.alias(c) for c, v in zip("xyz", xyz, strict=True)])
+
+
+def _pair(a: Column, b: Column, body) -> Column:
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda p: body(p["a"], p["b"]))
 
 
 def cross(a: Column, b: Column) -> Column:
-    return F.struct(
-        (a["y"] * b["z"] - a["z"] * b["y"]).alias("x"),
-        (a["z"] * b["x"] - a["x"] * b["z"]).alias("y"),
-        (a["x"] * b["y"] - a["y"] * b["x"]).alias("z"),
-    )
+    def product(a: Column, b: Column) -> Column:
+        return _vector(
+            a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"]
+        )
+
+    return _pair(a, b, product)
 
 
 def dot(a: Column, b: Column) -> Column:
-    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+    return _pair(a, b, lambda a, b: a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"])
 
 
 def unit(a: Column) -> Column:
-    n = F.greatest(F.sqrt(dot(a, a)), F.lit(1e-8))
-    return F.struct(*[(a[c] / n).alias(c) for c in "xyz"])
+    """At length one; a shorter vector than 1e-8 is divided by that."""
+    length = F.greatest(F.sqrt(dot(a, a)), F.lit(1e-8))
+    return bind(F.struct(a.alias("a"), length.alias("n")), lambda p: _vector(*[p["a"][c] / p["n"] for c in "xyz"]))
 
 
 def matrix_from_6d(a: Column, b: Column) -> Column:
     """A rotation's columns from two vectors, the second made orthogonal to the first."""
-    x = unit(a)
-    z = unit(cross(x, b))
-    y = cross(z, x)
-    return F.array(*[v[c] for c in "xyz" for v in (x, y, z)])
+
+    def columns(x: Column, z: Column) -> Column:
+        return bind(cross(z, x), lambda y: F.array(*[v[c] for c in "xyz" for v in (x, y, z)]))
+
+    return _pair(unit(a), b, lambda x, b: _pair(x, unit(cross(x, b)), columns))
 
 
 def axis_angle_matrix(axis: Column, angle: Column) -> Column:
     """Rodrigues' formula; angles up to 0.001 give the identity."""
-    a, s, c = unit(axis), F.sin(angle), F.cos(angle)
-    x, y, z, t = a["x"], a["y"], a["z"], 1 - c
-    cells = (
-        t * x * x + c, t * x * y - s * z, t * x * z + s * y,
-        t * x * y + s * z, t * y * y + c, t * y * z - s * x,
-        t * x * z - s * y, t * y * z + s * x, t * z * z + c,
-    )
-    same = F.abs(angle) <= 0.001
-    return F.array(*[F.when(same, float(i % 4 == 0)).otherwise(v) for i, v in enumerate(cells)])
+
+    def cells(a: Column, angle: Column) -> Column:
+        x, y, z, s, c = a["x"], a["y"], a["z"], F.sin(angle), F.cos(angle)
+        t = 1 - c
+        turned = (
+            t * x * x + c, t * x * y - s * z, t * x * z + s * y,
+            t * x * y + s * z, t * y * y + c, t * y * z - s * x,
+            t * x * z - s * y, t * y * z + s * x, t * z * z + c,
+        )
+        same = F.abs(angle) <= 0.001
+        return F.array(*[F.when(same, float(i % 4 == 0)).otherwise(v) for i, v in enumerate(turned)])
+
+    return _pair(unit(axis), angle, cells)
 
 
 def angle_between(a: Column, b: Column) -> Column:
     """Of two vectors, zero if one has no length."""
-    n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(n == 0, 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(n, F.lit(0.0))))))
+
+    def angle(a: Column, b: Column) -> Column:
+        length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+        return _pair(dot(a, b), length, lambda d, n: F.when(n == 0, 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d / n)))))
+
+    return _pair(a, b, angle)
 
 
 def rotation_between(a: Column, b: Column) -> Column:
     """The matrix that turns a's direction into b's."""
-    return axis_angle_matrix(cross(a, b), angle_between(a, b))
+    return _pair(a, b, lambda a, b: axis_angle_matrix(cross(a, b), angle_between(a, b)))
 
 
 def bearing(from_x: Column, from_z: Column, heading: Column, to_x: Column, to_z: Column) -> Column:
