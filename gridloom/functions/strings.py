@@ -58,8 +58,8 @@ def prompt(cls: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """The first number in a name, by which names sort naturally."""
-    return F.regexp_extract(name, r"(\d+)", 1).cast("long")
+    """The first number in a name, by which names sort naturally; null without one."""
+    return F.regexp_extract(name, r"(\d+)", 1).try_cast("long")
 
 
 def hex_to_rgb(c: Column) -> Column:
