@@ -24,7 +24,7 @@ from .common import pack, unpack, written
 #: 2 ** 64 divided by the golden ratio, odd.
 GOLDEN = 0x9E3779B97F4A7C15
 #: Slots that are ranked at once, and documents of one part of a source.
-STRETCH, PART = 1 << 16, 20_000
+STRETCH, PART = 1 << 16, 2_000
 
 
 @dataclass(frozen=True)
@@ -105,8 +105,10 @@ def schedule(spark, wanted: list[int]) -> DataFrame:
     earlier = Window.partitionBy("src").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     quota = spark.createDataFrame([(i, w) for i, w in enumerate(wanted)], "src int, wanted long")
+    # Spark takes a range for small whatever its rows are made into, so the joins say that they shuffle
     ranked = (
-        dealt.join(before.select("src", "stretch", "before"), ["src", "stretch"])
+        dealt.hint("merge")
+        .join(before.select("src", "stretch", "before"), ["src", "stretch"])
         .withColumn("rank", F.col("before") + F.col("at"))
         .join(quota, "src")
         .where("rank < wanted")
@@ -193,7 +195,7 @@ def mix_sources(
         .select("src", "place", "epoch", "a", "b", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")).alias("rank"))
         .withColumn("from", F.greatest(F.col("a"), F.col("rank") * block))
         .withColumn("to", F.least(F.col("b"), (F.col("rank") + 1) * block))
-        .join(slots, ["src", "rank"])
+        .join(slots.hint("merge"), ["src", "rank"])
         .select("slot", "src", "place", "epoch", (F.col("from") - F.col("a")).alias("first"), (F.col("to") - F.col("from")).alias("words"))
     )
     return Mix(placed, slots, pieces)
