@@ -30,7 +30,7 @@ LEAF = 48
 #: Bytes up to which neighbours are searched one by one, without a heap.
 SHORT = 96
 #: Matches of this many bytes at most are kept, and so many of them.
-KEEP_BYTES, KEEP = 64, 150_000
+KEEP_BYTES, KEEP = 64, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +38,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+class _Kept(dict):
+    """What a match is encoded as, worked out when it is first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, text: str) -> tuple[int, bytes, bytes]:
+        out = self.encode(text)
+        if len(out[2]) <= KEEP_BYTES:
+            if len(self) >= KEEP:
+                self.clear()
+            self[text] = out
+        return out
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF):
         import regex
@@ -47,7 +62,7 @@ class ByteBpe:
         self.pieces = regex.compile(pattern).findall
         self.leaf = leaf
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.kept: dict[str, tuple[int, bytes, bytes]] = {}
+        self.of = _Kept(self.piece).__getitem__
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of a stretch, merging the neighbours of the lowest rank, the first on ties."""
@@ -136,19 +151,11 @@ class ByteBpe:
 
     def piece(self, text: str) -> tuple[int, bytes, bytes]:
         """Of one match: number of ids, the ids in decimal joined by commas, their bytes."""
-        if (known := self.kept.get(text)) is not None:
-            return known
-        data = text.encode()
-        ids = self.encode_bytes(data)
-        out = (len(ids), ",".join(map(str, ids)).encode(), self.decode_bytes(ids))
-        if len(data) <= KEEP_BYTES:
-            if len(self.kept) >= KEEP:
-                self.kept.clear()
-            self.kept[text] = out
-        return out
+        ids = self.encode_bytes(text.encode())
+        return len(ids), ",".join(map(str, ids)).encode(), self.decode_bytes(ids)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.pieces(text) for i in self.piece(p)[1].split(b",")]
+        return [int(i) for p in self.pieces(text) for i in self.of(p)[1].split(b",")]
 
 
 def _encoder(ranks, pattern: str, want_ids: bool):
@@ -161,11 +168,11 @@ def _encoder(ranks, pattern: str, want_ids: bool):
                 part = batch.slice(lo, 256)
                 n, ids, sha, back, lists = [], [], [], [], []
                 for text in part.column("text").to_pylist():
-                    found = [bpe.piece(p) for p in bpe.pieces(text)]
-                    joined = b",".join([f[1] for f in found])
-                    n.append(sum([f[0] for f in found]))
+                    count, own, decoded = zip(*map(bpe.of, bpe.pieces(text)), strict=True) if text else ((), (), ())
+                    joined = b",".join(own)
+                    n.append(sum(count))
                     sha.append(hashlib.sha256(joined).hexdigest())
-                    back.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+                    back.append(hashlib.sha256(b"".join(decoded)).hexdigest())
                     if want_ids:
                         lists.append(list(map(int, joined.split(b","))) if joined else [])
                 columns = [part.column("row"), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
