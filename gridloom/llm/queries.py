@@ -136,6 +136,65 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), parts AS (
+  SELECT doc_id, lang, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM texts
+), windows AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS x
+  FROM parts, unnest(range(1, len(ws) - 1)) AS u(i)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k.range) AS n FROM twice, range(3) AS k GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines, coalesce(n, 0) AS n_repeat_words
+  FROM parts LEFT JOIN covered USING (doc_id)
+), m AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_symbols * 1000 // greatest(n_words, 1) AS r_symbols, word_chars * 100 // greatest(n_words, 1) AS r_length,
+         n_dup_lines * 1000 // greatest(n_lines, 1) AS r_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS r_repeat
+  FROM counted
+), long AS (
+  SELECT lang, source, base_failed, unnest(['r_symbols', 'r_length', 'r_lines', 'r_repeat']) AS ratio,
+         unnest([r_symbols, r_length, r_lines, r_repeat]) AS v, unnest([100, 200, 300, 300]) AS least_reach
+  FROM m
+), cells AS (
+  SELECT lang, source, ratio, least_reach, (v >> greatest(0, length(bin(v)) - 5)) << greatest(0, length(bin(v)) - 5) AS bucket, count(*) AS n
+  FROM long WHERE NOT base_failed GROUP BY ALL
+), own AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio) AS total, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS upto FROM cells
+), everywhere AS (
+  SELECT ratio, bucket, sum(n) AS n FROM cells GROUP BY ALL
+), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY ratio) AS total, sum(n) OVER (PARTITION BY ratio ORDER BY bucket) AS upto FROM everywhere
+), whole AS (
+  SELECT ratio, min(bucket) FILTER (upto * 4 >= total) AS w1, min(bucket) FILTER (upto * 4 >= total * 3) AS w3 FROM ranked GROUP BY ratio
+), quartiles AS (
+  SELECT lang, source, ratio, least_reach, any_value(total) AS docs,
+         min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3
+  FROM own GROUP BY ALL
+), picked AS (
+  SELECT lang, source, ratio, least_reach, CASE WHEN docs >= 30 THEN q1 ELSE w1 END AS q1, CASE WHEN docs >= 30 THEN q3 ELSE w3 END AS q3
+  FROM quartiles JOIN whole USING (ratio)
+), fences AS (
+  SELECT lang, source, ratio, q1 - greatest((q3 - q1) * 4, least_reach) AS lo, q3 + greatest((q3 - q1) * 4, least_reach) AS hi FROM picked
+), wide AS (
+  SELECT lang, source, max(hi) FILTER (ratio = 'r_symbols') AS h1, max(hi) FILTER (ratio = 'r_length') AS h2,
+         max(hi) FILTER (ratio = 'r_lines') AS h3, max(hi) FILTER (ratio = 'r_repeat') AS h4, max(lo) FILTER (ratio = 'r_length') AS l2
+  FROM fences GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(r_symbols <= h1 AND r_length <= h2 AND r_lines <= h3 AND r_repeat <= h4 AND r_length >= l2, false) AS kept
+FROM m LEFT JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.source IS NOT DISTINCT FROM wide.source
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -152,4 +211,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op9_quality_rules": OP9_SQL}
