@@ -39,13 +39,15 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def unpack(packed: DataFrame, docs: DataFrame, text_col: str, new: dict[str, Column]) -> DataFrame:
-    """The columns of docs, then those of new; one of new replaces a column of the same name."""
-    old = [
-        (F.col("text") if c == text_col else F.col(f"row.{name(c)}")).alias(c)
-        for c in docs.columns
-        if c not in new
-    ]
-    return packed.select(*old, *[v.alias(k) for k, v in new.items()])
+    """The columns of docs, then those of new; one of new stands in for a column of the same name."""
+
+    def old(c: str) -> Column:
+        if c in new:
+            return new[c].alias(c)
+        return (F.col("text") if c == text_col else F.col(f"row.{name(c)}")).alias(c)
+
+    more = [v.alias(k) for k, v in new.items() if k not in docs.columns]
+    return packed.select(*map(old, docs.columns), *more)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -87,9 +87,10 @@ def near_pairs(vertices: DataFrame, tau: int = 4) -> DataFrame:
     index, probes = [], []
     for i in range(len(ring)):
         first, both = ring[i][1], _chains(tau, i)[1][0]
-        spot = lambda flip: F.struct(F.lit(i).alias("i"), F.lit(flip).cast("long").alias("flip"))  # noqa: B023, E731
-        index.append(spot(0))
-        probes += [spot(0)] + [spot(1 << b) for b in range(first, both)]
+        flips = [0] + [1 << b if b < BITS - 1 else -(1 << b) for b in range(first, both)]
+        spots = [F.struct(F.lit(i).alias("i"), F.lit(f).cast("long").alias("flip")) for f in flips]
+        index.append(spots[0])
+        probes += spots
         assert _chains(tau, i)[0][1] == 0 and _chains(tau, i)[1][1] <= 1
 
     def key(fp: Column, i: Column) -> Column:
