@@ -5,8 +5,9 @@ the executors.
 Only line hashes, ids and positions are shuffled for counting.  The text moves once, when
 the positions to drop come back to their document; where those are few, Spark sends them
 to the documents instead.  A line that a large part of all documents share is counted per
-document first and then combined before the shuffle, and its way back is a plain equi-join,
-which Spark splits when one key is heavy.
+document first and then combined before the shuffle.  Common lines become a table in the shared
+folder, so that the way back to the documents is a plain equi-join of two inputs, which Spark
+splits where one line is heavy.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, let, pack, unpack
+from .common import WS, ascii_lower, let, pack, unpack, written
 
 
 def _line_rows(packed: DataFrame, min_chars: int) -> DataFrame:
@@ -68,15 +69,17 @@ def dedup_lines(
     """
     packed = pack(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     rows = _line_rows(packed, min_chars)
-    common = (
+    common = written(
         rows.groupBy("a", "b", "id")
         .agg(F.lit(1).alias("one"))
         .groupBy("a", "b")
         .agg(F.count("*").alias("n_docs"), F.min("id").alias("keeper"))
         .where(F.col("n_docs") > max_docs)
+        .select("a", "b", "keeper"),
+        "common-lines",
     )
     dropped = (
-        rows.join(common.select("a", "b", "keeper"), ["a", "b"])
+        rows.join(common, ["a", "b"])
         .where(F.col("id") > F.col("keeper"))
         .select("id", "text_key", "pos")
         .groupBy("id", "text_key")
