@@ -25,7 +25,7 @@ from .common import pack, unpack, written
 #: Words of a stretch whose hash may be a minimiser.
 STRETCH = 6
 #: Bytes of strings that a task holds before it sends them, and of texts that it cuts at once.
-HELD, AT_ONCE = 48_000_000, 4_000_000
+HELD, AT_ONCE = 24_000_000, 4_000_000
 
 
 def _mixed(x):
@@ -35,14 +35,12 @@ def _mixed(x):
     return x ^ (x >> np.uint64(29))
 
 
-def _word_hashes(flat: list[bytes]):
-    """(hash of each word, the words' ids in order, lengths)."""
+def _word_hashes(words):
+    """(hash of each word, the words' ids in order, lengths) of an Arrow array."""
     import numpy as np
-    import pyarrow as pa
     import pyarrow.compute as pc
     import xxhash
 
-    words = pa.array(flat, pa.large_binary())
     coded = words.dictionary_encode()
     ids = coded.indices.to_numpy(zero_copy_only=False)
     known = coded.dictionary.to_pylist()
@@ -53,6 +51,7 @@ def _word_hashes(flat: list[bytes]):
 def cut(texts: list[bytes], k: int, m: int = STRETCH):
     """The super-k-mers of texts: (text, first word, windows, minimiser, packed string) columns."""
     import numpy as np
+    import pyarrow as pa
 
     split = [t.split() for t in texts]
     sizes = np.fromiter((len(s) for s in split), np.int64, len(split))
@@ -60,7 +59,7 @@ def cut(texts: list[bytes], k: int, m: int = STRETCH):
     long = np.flatnonzero(sizes >= k)
     if not len(long):
         return [], [], [], [], []
-    hashes, _, lengths = _word_hashes(flat)
+    hashes, _, lengths = _word_hashes(pa.array(flat, pa.large_binary()))
     n = len(flat)
     ends = np.cumsum(sizes[long])
     starts = ends - sizes[long]
@@ -151,16 +150,15 @@ def _send(k: int, buckets: int):
 def repeated(strings: dict[bytes, int], k: int) -> list[tuple[bytes, bytes]]:
     """(string, bits) of the strings with windows that occur twice or more; a bit for each window."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     packed = list(strings)
     times = np.fromiter(strings.values(), np.int64, len(packed))
-    flat, sizes = [], np.empty(len(packed), np.int64)
-    for i, s in enumerate(packed):
-        w = s.split(b" ")
-        sizes[i] = len(w)
-        flat += w
-    hashes, ids, _ = _word_hashes(flat)
-    del flat
+    split = pc.split_pattern(pa.array(packed, pa.large_binary()), " ")
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes, ids, _ = _word_hashes(split.flatten())
+    del split
     windows = sizes - (k - 1)
     first = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(packed)), windows)
@@ -295,7 +293,7 @@ def dedup_substrings(
     that covers it has the same words as a window that starts anywhere else, in the same text
     included; windows are judged on the input.  The words left are joined by one space.
 
-    buckets: of minimisers, four for each shuffle partition if not given; a bucket is what one
+    buckets: of minimisers, eight for each shuffle partition if not given; a bucket is what one
     task holds at once.
 
     A null or empty text has no words and comes back empty.  Each row is a text of its own, so
@@ -305,7 +303,7 @@ def dedup_substrings(
     if k <= STRETCH:
         raise ValueError(f"k must be over {STRETCH}")
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = pack(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     answers = written(
         packed.select("text")
