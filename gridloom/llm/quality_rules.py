@@ -18,7 +18,7 @@ from .common import let, name, pack, unpack, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: ratio -> least distance of its upper fence from the upper quartile
-RATIOS = {"r_symbols": 100, "r_length": 200, "r_lines": 300, "r_repeat": 300}
+RATIOS = {"r_symbols": 100, "r_length": 200, "r_lines": 500, "r_repeat": 300}
 #: Bits of a value that a sketch keeps.
 KEPT_BITS = 5
 #: Copies of the fences, so that the documents of one source are joined in as many parts.
@@ -149,7 +149,7 @@ def judge_quality(
     symbols per word, repeated lines and repeated words stay at or under the upper fence of its
     language and source and the mean word length is within both.  A fence is spread times the
     distance of the quartiles away from them, and at least a tenth of a symbol per word, two
-    characters, or three tenths of the lines or words.
+    characters, half of the lines or three tenths of the words.
 
     A null text has no words and fails.  A null language or source is a group of its own.
     Equal rows get equal results; an empty table gives an empty one.  Text is never shuffled:

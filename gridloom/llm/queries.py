@@ -162,7 +162,7 @@ WITH texts AS (
   FROM counted
 ), long AS (
   SELECT lang, source, base_failed, unnest(['r_symbols', 'r_length', 'r_lines', 'r_repeat']) AS ratio,
-         unnest([r_symbols, r_length, r_lines, r_repeat]) AS v, unnest([100, 200, 300, 300]) AS least_reach
+         unnest([r_symbols, r_length, r_lines, r_repeat]) AS v, unnest([100, 200, 500, 300]) AS least_reach
   FROM m
 ), cells AS (
   SELECT lang, source, ratio, least_reach, (v >> greatest(0, length(bin(v)) - 5)) << greatest(0, length(bin(v)) - 5) AS bucket, count(*) AS n
