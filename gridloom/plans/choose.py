@@ -221,19 +221,20 @@ LVIS_IMAGES = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS
 
 def _instances(spark, d):
     return _branded(spark, d).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("p_brand").alias("class_name"), (F.col("l_quantity") * 2).cast("long").alias("bbx_area")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax", F.col("p_brand").alias("class_name"), (F.col("l_quantity") * 2).cast("long").alias("bbx_area")
     )
 
 
 def lvis_annotations(spark, d):
     classes = lookup.class_index(read(spark, d, "part").withColumnRenamed("p_brand", "class_name"), "class_name")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    out = annotations.annotation_rows(_instances(spark, d), classes, order, F.floor(F.col("l_orderkey") / 100))
+    # the four keys have a few doubles
+    out = annotations.annotation_rows(_instances(spark, d), classes, [*order, "l_extendedprice", "l_tax"], F.floor(F.col("l_orderkey") / 100))
     return out.select(*order, "id", "category_id", "area", "iscrowd")
 
 
 LVIS_ANNOTATIONS = """WITH k AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS category_id FROM (SELECT DISTINCT p_brand FROM part))
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax) AS id,
 category_id, (l_quantity * 2)::BIGINT AS area, 0 AS iscrowd FROM lineitem JOIN part ON l_partkey = p_partkey JOIN k USING (p_brand)"""
 
 
