@@ -207,7 +207,7 @@ def taken(mix: Mix) -> DataFrame:
     one = F.when(F.col("size") > 0, F.col("place")).otherwise(F.lit(-1))
     return (
         mix.placed.withColumn("key", one)
-        .join(used.withColumnRenamed("place", "key"), ["src", "key"], "left")
+        .join(used.withColumnRenamed("place", "key").hint("merge"), ["src", "key"], "left")
         .withColumn("taken", F.coalesce("used", F.lit(0).cast("long")))
         .drop("used", "key")
     )
