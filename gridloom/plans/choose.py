@@ -376,18 +376,18 @@ def coverage_sample(spark, d):
     return sampling.coverage_sample(_vectors(spark, d), 10).select("key")
 
 
-def _samples(spark, d, last):
-    l = read(spark, d, "lineitem").where(F.col("l_orderkey") <= last)
+def _samples(spark, d):
+    l = read(spark, d, "lineitem")
     return l.groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_set(F.col("l_suppkey") % 10).alias("objects"), F.collect_list("l_returnflag").alias("classes"))
 
 
 def balanced_sample(spark, d):
-    return sampling.balanced_sample(_samples(spark, d, 10**9), 40).select("key")
+    return sampling.balanced_sample(_samples(spark, d), 40).select("key")
 
 
 def covisibility_sample(spark, d):
     positions = spark.range(10).select(F.col("id").alias("object"), F.array((F.col("id") * 7 % 10).cast("double"), F.col("id").cast("double")).alias("v"))
-    keys = sampling.covisibility_sample(_samples(spark, d, 400), positions, 6)
+    keys = sampling.covisibility_sample(_samples(spark, d), positions, 6)
     return spark.createDataFrame([(k,) for k in keys], "key long")
 
 
