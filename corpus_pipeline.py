@@ -15,7 +15,7 @@ from gridloom.llm.labelled import remainder
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.quality_model import score_quality
 from gridloom.llm.queries import tokenizer
-from gridloom.llm.simhash import near_duplicates
+from gridloom.llm.simhash import representatives
 from gridloom.llm.source_mix import mixed_documents
 
 
@@ -39,11 +39,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id"))
-    return docs.join(stay.distinct(), same, "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of linked fingerprints one row stays, the one with the smallest id.
+
+    Rows with a null or a repeated id are rows of their own: each group they are in keeps one.
+    """
+    return representatives(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

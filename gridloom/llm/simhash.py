@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, pack, written
+from .common import NO_ID, name, pack, written
 
 BITS = 64
 
@@ -48,8 +48,9 @@ def _fingerprints(size: int, seed: int):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             found = [fingerprint(t.as_py(), size, seed) for t in texts]
+            kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(found, pa.int64())], names=["id", "fp"]
+                [*map(batch.column, kept), pa.array(found, pa.int64())], names=[*kept, "fp"]
             )
 
     return run
@@ -148,6 +149,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return now.select(F.col("v").alias("vertex"), F.col("m").alias("root")).union(roots)
 
 
+def _rooted(found: DataFrame, first: Column, tau: int) -> DataFrame:
+    """(fp, first, root) of each fingerprint of found; first is the least of its rows' values."""
+    vertices = written(found.groupBy("fp").agg(F.min(first).alias("first")), "simhash-vertices")
+    linked = components(near_pairs(vertices, tau), "simhash-components")
+    return vertices.join(linked, vertices.fp == linked.vertex, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -173,11 +183,7 @@ def near_duplicates(
         .mapInArrow(_fingerprints(size, seed), "id long, fp long"),
         "simhash",
     )
-    vertices = written(found.groupBy("fp").agg(F.min("id").alias("first")), "simhash-vertices")
-    linked = components(near_pairs(vertices, tau), "simhash-components")
-    rooted = vertices.join(linked, vertices.fp == linked.vertex, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(found, F.col("id"), tau)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     members = rooted.join(smallest, "root").select("fp", "component")
     given = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
@@ -186,3 +192,39 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         given("component").alias("component_id"),
     )
+
+
+def representatives(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 4,
+    seed: int = 42,
+    tau: int = 4,
+) -> DataFrame:
+    """One row of docs for each component of linked texts, the one with the smallest id.
+
+    Texts are linked as by near_duplicates.  Where rows of a component share the smallest id, or
+    have no ids, a digest of the whole row decides.  So rows with a null or a repeated id stay
+    apart unless their texts are linked.
+    """
+    every = [F.col(name(c)) for c in docs.columns]
+    rest = F.struct(*[F.col(name(c)) for c in docs.columns if c != text_col])
+    text = F.col(name(text_col))
+    # without the text's digest where the text is null
+    key = F.concat_ws(":", F.sha2(text.cast("binary"), 256), F.sha2(F.to_json(rest).cast("binary"), 256))
+    keyed = docs.select(
+        F.coalesce(F.col(name(id_col)).cast("long"), F.lit(NO_ID)).alias("id"),
+        key.alias("key"),
+        F.coalesce(text, F.lit("")).alias("text"),
+        F.struct(*every).alias("row"),
+    )
+    found = written(
+        keyed.select("id", "key", "text").mapInArrow(_fingerprints(size, seed), "id long, key string, fp long"),
+        "simhash",
+    )
+    rooted = _rooted(found, F.struct("id", "key"), tau)
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.key")
+    # rows of one key are copies of each other
+    kept = keyed.join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return kept.select(*[F.col(f"row.{name(c)}") for c in docs.columns])

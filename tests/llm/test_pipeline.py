@@ -88,3 +88,19 @@ def test_empty_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         assert out.collect() == []
+
+
+def test_null_and_repeated_ids_keep_a_row_of_each_group(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "re", "tu") for b in ("n", "ra", "so", "vi", "zel")]
+    a, b, c, d, e, f, g, h = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(8))
+    given = [(None, a), (None, b), (None, b), (None, b.upper()), (7, c), (7, d), (8, c), (None, e), (9, e), (10, f), (10, f)]
+    given += [(3, g), (11, g), (11, h), (None, None), (None, "")]
+    rows = [(i, t, "en", "a", 0) for i, t in given]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in out.collect())
+    assert got == Counter([(None, a), (None, b), (7, c), (7, d), (9, e), (10, f), (3, g), (11, h), (None, "")])
