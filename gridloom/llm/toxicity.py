@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import NO_ID, pack
 from .labelled import sample, sampled_texts
 
-TOKEN = re.compile(r"[^\W_]+").findall
+TOKEN_PATTERN = re.compile(r"[^\W_]+")
+TOKEN = TOKEN_PATTERN.findall
 STEM = 4
+SEGMENTS = "array<struct<start: long, end: long, evidence: double>>"
 
 
 @dataclass
@@ -69,19 +71,35 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[float, i
     return [(b - a, x, y) for a, b, (x, y) in zip(left, right, span, strict=True)]
 
 
-def evidence(text: str, model: Segments) -> tuple[float, float, float, int]:
-    """(best, sum, best raw score, tokens) of a text's segments; sum over significant ones."""
+def evidence(text: str, model: Segments) -> tuple[float, float, float, int, list[tuple[int, int, float]]]:
+    """(best, sum, best raw score, tokens, significant segments) of a text; sum over significant
+    segments, each as (first token, last token, evidence)."""
     tokens = TOKEN(text.lower())
     word, stem = model.scores.get, model.stems.get
     hits = [(i, s) for i, t in enumerate(tokens) if (s := max(word(t, 0.0), stem(t[:STEM], 0.0)))]
     if not hits:
-        return 0.0, 0.0, 0.0, len(tokens)
+        return 0.0, 0.0, 0.0, len(tokens), []
     found = segments(hits, model.drift)
     floor = math.log(max(model.k * len(tokens), 1e-9))
     gains = [model.lam * s - floor for s, _, _ in found]
     raw = max(s for s, _, _ in found)
-    significant = [g for g in gains if g > 3.0]  # a chance of about exp(-3)
-    return max(gains), sum(significant), raw, len(tokens)
+    # a chance of about exp(-3)
+    significant = [(x, y, g) for g, (_, x, y) in zip(gains, found, strict=True) if g > 3.0]
+    return max(gains), sum(g for _, _, g in significant), raw, len(tokens), significant
+
+
+def passages(text: str, found: list[tuple[int, int, float]]) -> list[dict]:
+    """Segments by their tokens, as evidence() gives them, by the characters of the text."""
+    if not found:
+        return []
+    low = text.lower()
+    at = [m.span() for m in TOKEN_PATTERN.finditer(low)]
+    place = list(range(len(low) + 1))
+    if len(low) != len(text):  # a few letters are longer in lower case
+        place = [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]
+    return [
+        {"start": place[at[x][0]], "end": place[at[y][1] - 1] + 1, "evidence": g} for x, y, g in found
+    ]
 
 
 def probability(best: float, total: float, weights: tuple[float, ...]) -> float:
@@ -205,13 +223,17 @@ def _score(model):
         import pyarrow as pa
 
         known = Segments(**model.value)
+        parts = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())])
         for batch in batches:
-            out = []
+            out, spans = [], []
             for t in batch.column("text"):
-                best, total, _, _ = evidence(t.as_py(), known)
+                text = t.as_py()
+                best, total, _, _, found = evidence(text, known)
                 out.append(probability(best, total, known.weights))
+                spans.append(passages(text, found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(out, pa.float64())], names=["id", "score"]
+                [batch.column("id"), pa.array(out, pa.float64()), pa.array(spans, pa.list_(parts))],
+                names=["id", "score", "segments"],
             )
 
     return run
@@ -226,7 +248,10 @@ def score_toxicity(
     train=None,
     most: int = 20_000,
 ) -> DataFrame:
-    """(id_col, score) of each row of docs; score is the probability of label 1.
+    """(id_col, score, segments) of each row of docs; score is the probability of label 1.
+
+    segments: the text's significant segments (start, end, evidence) in their order, by characters
+    of the text from 0, end exclusive; empty where nothing is significant.
 
     train: which rows of labels to learn from, all if not given; most: rows of each label at
     most that the sample takes.  Other columns than the text play no part in a score.
@@ -240,6 +265,6 @@ def score_toxicity(
     # bounded by most_terms; plain values, as workers need not know this package's classes
     model = docs.sparkSession.sparkContext.broadcast(vars(fit(texts)))
     texts.unpersist()
-    return packed.mapInArrow(_score(model), "id long, score double").select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "score"
+    return packed.mapInArrow(_score(model), f"id long, score double, segments {SEGMENTS}").select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "score", "segments"
     )

@@ -286,6 +286,19 @@ def test_classifiers_on_awkward_rows(spark, docs, rows):
     assert good.where("row = 1").count() == len(rows)
 
 
+def test_toxic_passages_are_returned(spark):
+    docs, labels = _labelled(spark)
+    rng = random.Random(9)
+    filler = lambda n: " ".join(rng.choice(["kan", "lora", "miso", "revi", "tuzel"]) for _ in range(n))
+    toxic = ["Vilefoo vilebar, VILEBAZ vilefoo", "vilebaz vilebar vilebar vilebaz vilefoo"]
+    text = f"\u0130\u0130 {filler(400)} {toxic[0]}. {filler(400)} {toxic[1]} {filler(30)}"
+    more = spark.createDataFrame([(9001, text), (9002, filler(300)), (9003, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs.union(more), labels).where("doc_id > 9000").collect()}
+    assert [text[s.start : s.end] for s in got[9001].segments] == toxic
+    assert all(s.evidence > 3 for s in got[9001].segments)
+    assert got[9002].segments == [] and got[9003].segments == []
+
+
 def test_segments_are_maximal():
     def plain(scores):
         """All maximal segments by their recursive definition."""
