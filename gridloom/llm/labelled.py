@@ -13,18 +13,23 @@ def remainder(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(name(id_col)).cast("string").cast("binary")), F.lit(parts))
 
 
-def sample(labels: DataFrame, id_col: str, label_col: str, train: Column, most: int) -> DataFrame:
-    """(id, label) of at most `most` rows of each label that train holds for, by the ids' hashes.
+def labelled_rows(labels: DataFrame, id_col: str, label_col: str, train: Column) -> DataFrame:
+    """(id, label) of the rows that train holds for.
 
     Rows without an id or a label of 0 or 1 are left out; of an id's rows one counts.
     """
-    rows = (
+    return (
         labels.where(train)
         .select(F.col(name(id_col)).cast("long").alias("id"), F.col(name(label_col)).cast("int").alias("label"))
         .where("id is not null and label in (0, 1)")
         .groupBy("id")
         .agg(F.max("label").alias("label"))
     )
+
+
+def sample(labels: DataFrame, id_col: str, label_col: str, train: Column, most: int) -> DataFrame:
+    """At most `most` labelled rows of each label, by the ids' hashes."""
+    rows = labelled_rows(labels, id_col, label_col, train)
     chosen = [
         rows.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(most) for v in (0, 1)
     ]

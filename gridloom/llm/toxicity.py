@@ -1,13 +1,19 @@
 """Toxicity by maximum-scoring segments.
 
-Terms are words and, written with a star, their first four letters.  A term's score is the
-log-odds of the texts that hold it, between toxic and clean ones, under Dirichlet priors in
-proportion to its overall use, less one standard error.  A token scores as its better term; one
-whose terms' log-odds aren't clearly positive costs a little.  A linear scan (Ruzzo and Tompa) finds all maximal segments of
-a text.  The score of a chance segment in n tokens follows an extreme-value distribution, so a
+A term is a word or, where words with a common beginning lean the same way, that beginning.  A
+term's score is the log-odds of its tokens between toxic and clean texts under Dirichlet priors
+(one occurrence, dealt by the classes' shares), less one standard error.  A term counts if its
+deviance from the classes' shares is over 2 ln(terms), the level that the largest of so many
+chance deviances hardly reaches at any size of vocabulary, and a beginning only if none of the
+longer ones departs from it.  Near copies in the sample share the weight of one text, so they
+can't make a term look sure.
+
+Any other token costs a little.  A linear scan (Ruzzo and Tompa) finds all maximal segments of a
+text.  The score of a chance segment in n tokens follows an extreme-value distribution, so a
 segment's evidence is lambda * score - ln(K * n) (Karlin and Altschul), with lambda from the
 clean tokens' scores and K from the clean texts' best segments.  The evidence of a text's
-significant segments, its best and its sum, is calibrated to a probability.
+significant segments, its best and its sum, is calibrated to a probability; K and the
+calibration are taken from texts that the terms they are scored by weren't learned from.
 
 Learned from a bounded sample of labelled rows; every text is scanned whole.
 """
@@ -18,26 +24,58 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, pack
-from .labelled import sample, sampled_texts
+from .labelled import labelled_rows, sample, sampled_texts
 
-TOKEN_PATTERN = re.compile(r"[^\W_]+")
+#: Scripts written without spaces: each of their characters is a token.
+ALONE = "\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff"
+TOKEN_PATTERN = re.compile(f"[{ALONE}]|[^\\W_{ALONE}]+")
 TOKEN = TOKEN_PATTERN.findall
-STEM = 4
+#: Letters of the longest beginning that may be a term; whole words of any length may.
+LONGEST = 12
+#: Deviance from which a longer term departs from a beginning, one in twenty by chance.
+DEPARTS = 3.84
+#: Marks a term that is a whole word; not in any token.
+END = "$"
+#: Counts are whole numbers of 1/UNIT, so that sums don't depend on their order.
+UNIT = 4096
+#: Smallest hashes of a text's SPAN-word shingles that tell near copies.
+SKETCH, SPAN = 4, 5
+#: Words whose score a task remembers.
+REMEMBERED = 200_000
 SEGMENTS = "array<struct<start: long, end: long, evidence: double>>"
 
 
+class _Scores(dict):
+    """A token's score, found once."""
+
+    def __init__(self, terms: dict[str, float]):
+        self.terms = terms
+        self.reach = max((len(t) for t in terms if t[-1] != END), default=0)
+
+    def __missing__(self, token: str) -> float:
+        known = self.terms.get
+        s = known(token + END)
+        n = min(self.reach, len(token))
+        while s is None and n:
+            s = known(token[:n])
+            n -= 1
+        s = s or 0.0
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = s
+        return s
+
+
 @dataclass
 class Segments:
-    """What a scan needs.  scores, stems: of the words and first letters that count for
-    toxicity; drift: the cost of any
-    other token; lam, k: of the extreme-value distribution; weights: of the calibration."""
+    """What a scan needs.  terms: scores of the terms that count for toxicity; drift: the cost
+    of any other token; lam, k: of the extreme-value distribution; weights: of the calibration."""
 
-    scores: dict[str, float]
-    stems: dict[str, float]
+    terms: dict[str, float]
     drift: float = 0.1
     lam: float = 1.0
     k: float = 0.1
@@ -71,25 +109,26 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[float, i
     return [(b - a, x, y) for a, b, (x, y) in zip(left, right, span, strict=True)]
 
 
-def evidence(text: str, model: Segments) -> tuple[float, float, float, int, list[tuple[int, int, float]]]:
-    """(best, sum, best raw score, tokens, significant segments) of a text; sum over significant
-    segments, each as (first token, last token, evidence)."""
+def scan(text: str, scores: _Scores, drift: float) -> tuple[int, list[tuple[float, int, int]]]:
+    """(tokens, maximal segments) of a text."""
     tokens = TOKEN(text.lower())
-    word, stem = model.scores.get, model.stems.get
-    hits = [(i, s) for i, t in enumerate(tokens) if (s := max(word(t, 0.0), stem(t[:STEM], 0.0)))]
-    if not hits:
-        return 0.0, 0.0, 0.0, len(tokens), []
-    found = segments(hits, model.drift)
-    floor = math.log(max(model.k * len(tokens), 1e-9))
-    gains = [model.lam * s - floor for s, _, _ in found]
-    raw = max(s for s, _, _ in found)
+    return len(tokens), segments([(i, s) for i, t in enumerate(tokens) if (s := scores[t])], drift)
+
+
+def weigh(n: int, found: list[tuple[float, int, int]], lam: float, k: float):
+    """(best, sum, significant segments) of a text of n tokens; sum over significant segments,
+    each as (first token, last token, evidence)."""
+    if not found:
+        return 0.0, 0.0, []
+    floor = math.log(max(k * n, 1e-9))
+    gains = [lam * s - floor for s, _, _ in found]
     # a chance of about exp(-3)
     significant = [(x, y, g) for g, (_, x, y) in zip(gains, found, strict=True) if g > 3.0]
-    return max(gains), sum(g for _, _, g in significant), raw, len(tokens), significant
+    return max(gains), sum(g for _, _, g in significant), significant
 
 
 def passages(text: str, found: list[tuple[int, int, float]]) -> list[dict]:
-    """Segments by their tokens, as evidence() gives them, by the characters of the text."""
+    """Segments by their tokens, as weigh() gives them, by the characters of the text."""
     if not found:
         return []
     low = text.lower()
@@ -102,119 +141,228 @@ def passages(text: str, found: list[tuple[int, int, float]]) -> list[dict]:
     ]
 
 
+def features(best: float, total: float) -> tuple[float, float, float]:
+    return 1.0, math.tanh(best / 10) * 10, math.log1p(max(total, 0.0))
+
+
 def probability(best: float, total: float, weights: tuple[float, ...]) -> float:
-    z = weights[0] + weights[1] * math.tanh(best / 10) * 10 + weights[2] * math.log1p(max(total, 0.0))
+    z = sum(w * x for w, x in zip(weights, features(best, total), strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def sketch(text: str) -> list[int]:
+    """For each of SKETCH hash functions the smallest hash of the text's shingles."""
+    import numpy as np
+    import xxhash
+
+    words = text.lower().split()
+    hashed = xxhash.xxh64_intdigest
+    least = np.full(SKETCH, 2**64 - 1, np.uint64)
+    turns = np.array([2 * i + 0x9E3779B97F4A7C15 for i in range(SKETCH)], np.uint64)
+    n = max(1, len(words) - SPAN + 1)
+    for lo in range(0, n, 1 << 14):
+        h = np.fromiter((hashed(" ".join(words[i : i + SPAN])) for i in range(lo, min(n, lo + (1 << 14)))), np.uint64)
+        mixed = h[:, None] * turns
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(0))
+    return least.view(np.int64).tolist()
+
+
+def _sketches(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [sketch(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("text_key"), pa.array(found, pa.list_(pa.int64()))],
+            names=["id", "text_key", "sketch"],
+        )
+
+
+def weights_of(seen):
+    """seen (a pandas frame with sketch) with weight, in 1/UNIT, and fold.
+
+    A text's group has the texts that share a sketch value with it; of its values' groups the
+    second largest counts, as one value alone may lie in a line that many texts have."""
+    import numpy as np
+
+    values = np.array(seen.sketch.tolist(), np.int64).reshape(-1, SKETCH)
+    sizes = np.stack([np.unique(v, return_inverse=True, return_counts=True)[2][np.unique(v, return_inverse=True)[1]] for v in values.T], axis=1)
+    group = np.sort(sizes, axis=1)[:, -2]
+    return seen.assign(weight=np.maximum(1, UNIT // group), fold=(values[:, 0] & 1).astype(int))
+
+
 def _counts(batches):
-    """(term, toxic, clean): texts that hold a term; the empty term has the tokens of all texts."""
+    """(term, t0, c0, t1, c1): uses of a word in toxic and clean texts of each fold.  A text's
+    n uses of a word count log2(1 + n), times its weight; the empty term has all words' sums."""
     import pyarrow as pa
 
-    found = ({}, {})
+    found: dict[str, list[int]] = {}
     for batch in batches:
-        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
-            own, tokens = found[label], TOKEN(text.as_py().lower())
-            own[""] = own.get("", 0) + len(tokens)
-            once = set(tokens)
-            for t in once | {t[:STEM] + "*" for t in once}:
+        columns = [batch.column(c).to_pylist() for c in ("label", "weight", "fold")]
+        for text, label, weight, fold in zip(batch.column("text"), *columns, strict=True):
+            own: dict[str, int] = {}
+            for t in TOKEN(text.as_py().lower()):
                 own[t] = own.get(t, 0) + 1
-    clean, toxic = found
-    names = list(toxic.keys() | clean.keys())
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(names, pa.string()),
-            pa.array([toxic.get(t, 0) for t in names], pa.int64()),
-            pa.array([clean.get(t, 0) for t in names], pa.int64()),
-        ],
-        names=["term", "toxic", "clean"],
-    )
+            at = 2 * fold + 1 - label
+            for t, n in own.items():
+                found.setdefault(t, [0, 0, 0, 0])[at] += round(weight * math.log2(1 + n))
+    names = list(found)
+    for lo in range(0, len(names), 50_000):
+        part = names[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part, pa.string()), *[pa.array([found[t][i] for t in part], pa.int64()) for i in range(4)]],
+            names=["term", "t0", "c0", "t1", "c1"],
+        )
+
+
+def _terms(nodes: DataFrame, toxic: Column, clean: Column, least: float) -> tuple[list, float, float]:
+    """(rows (term, score, yc), tokens of toxic, of clean texts) of the terms that count, and, with
+    a score of 0, of those that depart from a beginning that counts."""
+    counted = nodes.select("term", (toxic / UNIT).alias("yt"), (clean / UNIT).alias("yc")).where("yt + yc > 0")
+    word = F.col("term").endswith(END)
+    whole = counted.agg(
+        F.sum(F.when(word, F.col("yt"))), F.sum(F.when(word, F.col("yc"))), F.count("*")
+    ).first()
+    nt, nc, size = whole[0] or 0.0, whole[1] or 0.0, whole[2]
+    if not nt or not nc:
+        return [], nt, nc
+    share, level = nt / (nt + nc), 2 * math.log(size)
+    part = lambda y, p: F.when(y > 0, y * F.log(y / ((F.col("yt") + F.col("yc")) * p))).otherwise(0.0)
+    deviance = lambda p: 2 * (part(F.col("yt"), p) + part(F.col("yc"), 1 - p))
+    at, ac = share, 1 - share
+    delta = F.log((F.col("yt") + at) / (nt + 1)) - F.log((F.col("yc") + ac) / (nc + 1))
+    error = F.sqrt(1 / (F.col("yt") + at) + 1 / (F.col("yc") + ac))
+    lean = F.col("yt") > share * (F.col("yt") + F.col("yc"))
+    shown = counted.withColumn("score", delta - error).withColumn("p", (F.col("yt") + at) / (F.col("yt") + F.col("yc") + 1))
+    some = shown.where(lean & (deviance(F.lit(share)) > level) & (F.col("score") > least))
+    leads = F.broadcast(some.where(~word).select(F.col("term").alias("lead"), F.col("p").alias("lead_p")))
+    begins = F.expr(f"transform(sequence(1, least(length(term) - 1, {LONGEST})), n -> left(term, n))")
+    lower = (F.col("p") < F.col("lead_p")) & (deviance(F.col("lead_p")) > DEPARTS)
+    below = shown.where(F.length("term") > 1).withColumn("lead", F.explode(begins)).join(leads, "lead").where(lower)
+    plain = below.select("term", F.lit(0.0).alias("score"), "yc").distinct()
+    rows = {r.term: r for r in plain.collect()} | {r.term: r for r in some.select("term", "score", "yc").collect()}
+    # what says the same as the longest beginning that counts needn't be held
+    kept = []
+    for t in sorted(rows):
+        up = next((rows[t[:n]] for n in range(min(len(t) - 1, LONGEST), 0, -1) if t[:n] in rows), None)
+        if rows[t].score or up and up.score:
+            kept.append(rows[t])
+    return kept, nt, nc
+
+
+def _model(found: tuple[list, float, float], drift: float) -> Segments:
+    """lambda: the clean tokens' mean of exp(lambda * score) is one."""
+    import numpy as np
+
+    rows, _, nc = found
+    share = np.array([(r.yc + 0.5) / (nc + 1) for r in rows] or [0.0])
+    score = np.array([r.score for r in rows] or [0.0])
+    rest = max(0.0, 1 - share.sum())
+    low, high = 1e-3, 5.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        if (share * np.exp(mid * score)).sum() + rest * math.exp(-mid * drift) < 1:
+            low = mid
+        else:
+            high = mid
+    return Segments({r.term: r.score for r in rows}, drift, low)
+
 
+def _raw(models):
+    """(id, label, n, scores): of each text, by the model of the fold it isn't in."""
 
-def _evidence(model):
     def run(batches):
         import pyarrow as pa
 
+        scores = [_Scores(terms) for terms, _ in models]
         for batch in batches:
-            found = [evidence(t.as_py(), model) for t in batch.column("text")]
+            found = [
+                scan(t.as_py(), scores[f], models[f][1])
+                for t, f in zip(batch.column("text"), batch.column("fold").to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
-                    batch.column("label"),
-                    *[pa.array([f[i] for f in found], pa.float64()) for i in range(4)],
+                    *[batch.column(c) for c in ("id", "text_key", "label", "weight", "fold")],
+                    pa.array([n for n, _ in found], pa.int64()),
+                    pa.array([[s for s, _, _ in own] for _, own in found], pa.list_(pa.float64())),
                 ],
-                names=["id", "label", "best", "total", "raw", "tokens"],
+                names=["id", "text_key", "label", "weight", "fold", "n", "scores"],
             )
 
     return run
 
 
-def _logistic(x, y, rounds: int = 50):
-    """Weights by Newton's method with a small ridge."""
+def _logistic(x, y, w, rounds: int = 50):
+    """Coefficients by Newton's method with a small ridge; w: the rows' weights."""
     import numpy as np
 
-    w = np.zeros(x.shape[1])
+    b = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + 0.05 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        g = x.T @ (w * (p - y)) + 0.05 * b
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(b))
         step = np.linalg.solve(h, g)
-        w -= step
+        b -= step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return b
 
 
-def fit(texts: DataFrame, prior: float = 0.1, sure: float = 2.5, most_terms: int = 20_000) -> Segments:
-    """A model from (id, text, label) rows.
+def fit(texts: DataFrame, labelled: dict[int, int], drift: float = 0.1, least: float = math.log(2)) -> Segments:
+    """A model from (id, text_key, text, label) rows.
 
-    prior: what the Dirichlet priors are worth, as a part of the texts; sure: the least z of the
-    log-odds of a term that counts; most_terms: the model's size, by z.  Without texts of both
-    labels every text gets the share of toxic ones, with one more of each.
+    labelled: rows of each label that the sample is from, whose shares the probabilities keep to;
+    drift: the cost of a token without a score; least: the least score of a term.  Without texts of both labels every text gets the
+    share of toxic ones, with one more of each.
     """
     import numpy as np
 
+    spark = texts.sparkSession
     docs = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
-    nt, nc = docs.get(1, 0), docs.get(0, 0)
-    if not nt or not nc:
-        return Segments({}, {}, weights=(math.log((nt + 1) / (nc + 1)), 0.0, 0.0))
-    counted = texts.mapInArrow(_counts, "term string, toxic long, clean long")
-    counted = counted.groupBy("term").agg(F.sum("toxic").alias("yt"), F.sum("clean").alias("yc"))
-    worth = prior * (nt + nc)
-    a = F.lit(prior) * (F.col("yt") + F.col("yc"))
-    logit = lambda y, n: F.log((F.col(y) + a) / (F.lit(n + worth) - F.col(y) - a))
-    error = F.sqrt(1 / (F.col("yt") + a) + 1 / (F.col("yc") + a))
-    scored = counted.where("term <> '' and yt >= 2").withColumn("d", logit("yt", nt) - logit("yc", nc))
-    scored = scored.withColumn("e", error).where(F.col("d") >= F.col("e") * sure)
-    rows = scored.orderBy(F.desc(F.col("d") / F.col("e")), "term").limit(most_terms).collect()
-    tokens = counted.where("term = ''").agg(F.sum("yc")).first()[0] or 0
-    score_of = {r.term: r.d - r.e for r in rows}
-    model = Segments(
-        {t: s for t, s in score_of.items() if t[-1] != "*"},
-        {t[:-1]: s for t, s in score_of.items() if t[-1] == "*"},
+    if not docs.get(1) or not docs.get(0):
+        share = [labelled.get(v, 0) if docs.get(v) else 0 for v in (0, 1)]
+        return Segments({}, weights=(math.log((share[1] + 1) / (share[0] + 1)), 0.0, 0.0))
+    seen = texts.mapInArrow(_sketches, "id long, text_key long, sketch array<long>").toPandas()
+    seen = weights_of(seen.drop_duplicates(["id", "text_key"]))
+    known = spark.createDataFrame(
+        list(zip(*(seen[c].tolist() for c in ("id", "text_key", "weight", "fold")), strict=True)),
+        "id long, text_key long, weight long, fold int",
     )
-    # lambda: the clean tokens' mean of exp(lambda * score) is one
-    share = np.array([(r.yc + 0.5) / (tokens + 1) for r in rows] or [0.0])
-    score = np.array([r.d - r.e for r in rows] or [0.0])
-    rest = max(0.0, 1 - share.sum())
-    low, high = 1e-3, 5.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        if (share * np.exp(mid * score)).sum() + rest * math.exp(-mid * model.drift) < 1:
-            low = mid
-        else:
-            high = mid
-    model.lam = low
-    shown = "id long, label int, best double, total double, raw double, tokens double"
-    seen = texts.mapInArrow(_evidence(model), shown).toPandas().sort_values("id", kind="stable")
-    chance = seen[(seen.label == 0) & (seen.tokens > 0)]
-    if len(chance):
+    texts = texts.join(F.broadcast(known), ["id", "text_key"])  # a row for each of the sample's
+    words = (
+        texts.mapInArrow(_counts, "term string, t0 long, c0 long, t1 long, c1 long")
+        .groupBy("term")
+        .agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")])
+    )
+    begins = F.expr(f"transform(sequence(1, least(length(term), {LONGEST})), n -> left(term, n))")
+    nodes = (
+        words.withColumn("term", F.explode(F.array_append(begins, F.concat("term", F.lit(END)))))
+        .groupBy("term")
+        .agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")])
+        .cache()
+    )
+    c = F.col
+    # a text of fold 0 is scored by what fold 1 holds
+    halves = [_model(_terms(nodes, c("t1"), c("c1"), least), drift), _model(_terms(nodes, c("t0"), c("c0"), least), drift)]
+    model = _model(_terms(nodes, c("t0") + c("t1"), c("c0") + c("c1"), least), drift)
+    nodes.unpersist()
+    shown = "id long, text_key long, label int, weight long, fold int, n long, scores array<double>"
+    plain = [(m.terms, m.drift) for m in halves]
+    got = texts.mapInArrow(_raw(plain), shown).toPandas().sort_values(["id", "text_key"], kind="stable")
+    lam = np.array([m.lam for m in halves])[got.fold]
+    best = np.array([max(s, default=0.0) for s in got.scores])
+    chance = ((got.label == 0) & (got.n > 0)).to_numpy()
+    if chance.any():
         # a Gumbel mean is ln(K n) + Euler's number
-        model.k = float(np.exp(np.mean(model.lam * chance.raw - np.log(chance.tokens)) - 0.5772156649))
+        excess = lam[chance] * best[chance] - np.log(got.n[chance])
+        model.k = float(np.exp(np.average(excess, weights=got.weight[chance]) - 0.5772156649))
         model.k = min(max(model.k, 1e-6), 10.0)
-    seen = texts.mapInArrow(_evidence(model), shown).toPandas().sort_values("id", kind="stable")
-    x = np.stack([np.ones(len(seen)), np.tanh(seen.best / 10) * 10, np.log1p(seen.total.clip(lower=0))], axis=1)
-    model.weights = tuple(float(v) for v in _logistic(x, seen.label.to_numpy(float)))
+    x = np.array(
+        [features(*weigh(n, [(s, 0, 0) for s in own], m, model.k)[:2]) for n, own, m in zip(got.n, got.scores, lam, strict=True)]
+    )
+    y = got.label.to_numpy(float)
+    of_label = np.array([labelled.get(v, 0) / max(1, docs[v]) for v in (0, 1)])
+    model.weights = tuple(float(v) for v in _logistic(x, y, of_label[got.label.to_numpy(int)]))
     return model
 
 
@@ -223,12 +371,13 @@ def _score(model):
         import pyarrow as pa
 
         known = Segments(**model.value)
+        scores = _Scores(known.terms)
         parts = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())])
         for batch in batches:
             out, spans = [], []
             for t in batch.column("text"):
                 text = t.as_py()
-                best, total, _, _, found = evidence(text, known)
+                best, total, found = weigh(*scan(text, scores, known.drift), known.lam, known.k)
                 out.append(probability(best, total, known.weights))
                 spans.append(passages(text, found))
             yield pa.RecordBatch.from_arrays(
@@ -260,10 +409,12 @@ def score_toxicity(
     scored, with a null id too; equal texts get equal scores; an empty table gives an empty one.
     """
     packed = pack(docs, id_col, text_col).select("id", "text")
-    chosen = sample(labels, id_col, label_col, F.lit(True) if train is None else train, most)
-    texts = sampled_texts(packed, chosen).cache()
-    # bounded by most_terms; plain values, as workers need not know this package's classes
-    model = docs.sparkSession.sparkContext.broadcast(vars(fit(texts)))
+    rows = F.lit(True) if train is None else train
+    chosen = sample(labels, id_col, label_col, rows, most)
+    labelled = {r.label: r["count"] for r in labelled_rows(labels, id_col, label_col, rows).groupBy("label").count().collect()}
+    texts = sampled_texts(packed, chosen).withColumn("text_key", F.xxhash64("text")).cache()
+    # a term for each that stands out of the sample; plain values, as workers need not know this package's classes
+    model = docs.sparkSession.sparkContext.broadcast(vars(fit(texts, labelled)))
     texts.unpersist()
     return packed.mapInArrow(_score(model), f"id long, score double, segments {SEGMENTS}").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "score", "segments"
