@@ -8,9 +8,11 @@ the seam are re-encoded, and the pairs at both edges of that window hold, nothin
 window can change.  Otherwise the window doubles
 on the side that fails.
 
-Each match of the splitting pattern is such a tree, a short one is a leaf, and a text's ids are
-the matches' ids in order.  Decoding concatenates up the same tree.  A task keeps the results
-for short matches, which are most of all text, within a bound.
+A text is one such tree.  Its upper joints lie between matches of the splitting pattern, where
+nothing merges, so there the product is concatenation; below them each match is reduced by
+halves, down to leaves of a few bytes, so words of ordinary length are joined.  Decoding
+concatenates up the same tree.  A task keeps the results for short stretches and matches, which
+are most of all text, within a bound.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from .common import pack, unpack
 
-#: Bytes up to which a stretch is encoded as one leaf.
-LEAF = 48
+#: Bytes up to which a stretch is encoded as one leaf, and matches that are put together at once.
+LEAF, ROW = 4, 256
 #: Bytes up to which neighbours are searched one by one, without a heap.
 SHORT = 96
 #: Matches of this many bytes at most are kept, and so many of them.
@@ -62,8 +64,20 @@ class ByteBpe:
         self.pieces = regex.compile(pattern).findall
         self.leaf = leaf
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.short: dict[bytes, list[int]] = {}
+        self.joins = 0
         self.of = _Kept(self.piece).__getitem__
 
+    def stretch(self, data: bytes) -> list[int]:
+        """merge(data), kept for short stretches."""
+        if len(data) > KEEP_BYTES:
+            return self.merge(data)
+        if (known := self.short.get(data)) is None:
+            if len(self.short) >= KEEP:
+                self.short.clear()
+            known = self.short[data] = self.merge(data)
+        return known
+
     def merge(self, data: bytes) -> list[int]:
         """The ids of a stretch, merging the neighbours of the lowest rank, the first on ties."""
         if (whole := self.ranks.get(data)) is not None:
@@ -124,12 +138,13 @@ class ByteBpe:
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
+        self.joins += 1
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
         a, b = 1, 1
         while True:
             inner = b"".join(map(self.bytes_of.__getitem__, left[len(left) - a :] + right[:b]))
-            window = self.merge(inner)
+            window = self.stretch(inner)
             ok_left = a == len(left) or self.stable(left[-a - 1], window[0])
             ok_right = b == len(right) or self.stable(window[-1], right[b])
             if ok_left and ok_right:
@@ -139,7 +154,7 @@ class ByteBpe:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         if len(data) <= self.leaf:
-            return self.merge(data)
+            return self.stretch(data)
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
@@ -154,8 +169,20 @@ class ByteBpe:
         ids = self.encode_bytes(text.encode())
         return len(ids), ",".join(map(str, ids)).encode(), self.decode_bytes(ids)
 
+    def reduce(self, matches: list[str]) -> tuple[int, bytes, bytes]:
+        """What piece() gives, of consecutive matches, by halves."""
+        if len(matches) <= ROW:
+            if not matches:
+                return 0, b"", b""
+            count, ids, decoded = zip(*map(self.of, matches), strict=True)
+            return sum(count), b",".join(ids), b"".join(decoded)
+        half = len(matches) // 2
+        (n, a, x), (m, b, y) = self.reduce(matches[:half]), self.reduce(matches[half:])
+        return n + m, a + b"," + b, x + y
+
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.pieces(text) for i in self.of(p)[1].split(b",")]
+        ids = self.reduce(self.pieces(text))[1]
+        return list(map(int, ids.split(b","))) if ids else []
 
 
 def _encoder(ranks, pattern: str, want_ids: bool):
@@ -168,11 +195,10 @@ def _encoder(ranks, pattern: str, want_ids: bool):
                 part = batch.slice(lo, 256)
                 n, ids, sha, back, lists = [], [], [], [], []
                 for text in part.column("text").to_pylist():
-                    count, own, decoded = zip(*map(bpe.of, bpe.pieces(text)), strict=True) if text else ((), (), ())
-                    joined = b",".join(own)
-                    n.append(sum(count))
+                    count, joined, decoded = bpe.reduce(bpe.pieces(text))
+                    n.append(count)
                     sha.append(hashlib.sha256(joined).hexdigest())
-                    back.append(hashlib.sha256(b"".join(decoded)).hexdigest())
+                    back.append(hashlib.sha256(decoded).hexdigest())
                     if want_ids:
                         lists.append(list(map(int, joined.split(b","))) if joined else [])
                 columns = [part.column("row"), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
