@@ -5,6 +5,12 @@ Consecutive windows of one text that share a minimiser travel as one packed stri
 common words move once, and windows with the same words always meet in the minimiser's bucket.
 There they are sorted and counted exactly: equal hashes are compared word by word.
 
+A minimiser that very many unlike strings share, such as one in a frequent line with ever new
+neighbours, is dealt out by a second one: its strings are cut again where the smallest hash of
+their other stretches changes, and each part goes to the bucket of both hashes.  Which minimisers
+these are is estimated from a part of the texts; it decides where windows are counted, never
+which, as the cut follows from a window's words alone.
+
 A task adds up equal strings before it sends them, so a passage that a large part of all
 documents repeat arrives once per task, however often it occurs.  A bucket's answer is per
 string: which of its windows start somewhere else too.  Texts are cut into the same strings
@@ -24,6 +30,10 @@ from .common import pack, unpack, written
 
 #: Words of a stretch whose hash may be a minimiser.
 STRETCH = 6
+#: One in so many texts, by hash, tells the heavy minimisers and the number of buckets.
+PART_OF = 64
+#: Bytes of strings of a bucket, about, and of a minimiser that is dealt out by a second one.
+BUCKET, HEAVY = 12_000_000, 24_000_000
 #: Bytes of strings that a task holds before it sends them, and of texts that it cuts at once.
 HELD, AT_ONCE = 24_000_000, 4_000_000
 
@@ -48,8 +58,22 @@ def _word_hashes(words):
     return hashes[ids], ids, pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def cut(texts: list[bytes], k: int, m: int = STRETCH):
-    """The super-k-mers of texts: (text, first word, windows, minimiser, packed string) columns."""
+def _least(x, reach: int):
+    """Smallest of each `reach` consecutive values."""
+    import numpy as np
+
+    span = 1
+    while 2 * span <= reach:
+        x = np.minimum(x[: len(x) - span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (reach - span)], x[reach - span :]) if span < reach else x
+
+
+def cut(texts: list[bytes], k: int, heavy=(), m: int = STRETCH):
+    """The super-k-mers of texts: (text, first word, windows, minimiser, packed string) columns.
+
+    heavy: sorted minimisers whose windows are cut by a second one too; both are in the
+    minimiser's column then, mixed."""
     import numpy as np
     import pyarrow as pa
 
@@ -66,18 +90,19 @@ def cut(texts: list[bytes], k: int, m: int = STRETCH):
     stretch = np.zeros(n - m + 1, np.uint64)
     for j in range(m):
         stretch = stretch * np.uint64(0xD6E8FEB86659FD93) + hashes[j : n - m + 1 + j]
-    low, span, reach = _mixed(stretch), 1, k - m + 1
-    while 2 * span <= reach:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    if span < reach:
-        low = np.minimum(low[: len(low) - (reach - span)], low[reach - span :])
+    mixed = _mixed(stretch)
+    low = _least(mixed, k - m + 1)
     # low[p]: the minimiser of the window that starts at word p; windows across texts are left out
     inside = np.ones(n - k + 1, bool)
     for e in ends[:-1]:
         inside[max(0, e - k + 1) : e] = False
     at = np.flatnonzero(inside)
     least = low[at]
+    if len(heavy):
+        many = np.isin(least, heavy)
+        if many.any():
+            rest = _least(np.where(np.isin(mixed, heavy), np.uint64(2**64 - 1), mixed), k - m + 1)
+            least[many] = _mixed(least[many] ^ (rest[at[many]] * np.uint64(0xA24BAED4963EE407)))
     new = np.ones(len(at), bool)
     new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
@@ -106,7 +131,7 @@ def _slices(batch, column: str):
         yield lo, texts[lo:]
 
 
-def _send(k: int, buckets: int):
+def _send(k: int, buckets: int, heavy: list[int]):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -124,11 +149,12 @@ def _send(k: int, buckets: int):
                 [pa.array(keys, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"]
             )
 
+        most = np.array(heavy, np.uint64)
         held: dict[int, dict[bytes, int]] = {}
         size = 0
         for batch in batches:
             for _, texts in _slices(batch, "text"):
-                _, _, _, least, strings = cut(texts, k)
+                _, _, _, least, strings = cut(texts, k, most)
                 if not strings:
                     continue
                 for b, s in zip((_mixed(least) % np.uint64(buckets)).tolist(), strings, strict=True):
@@ -147,6 +173,39 @@ def _send(k: int, buckets: int):
     return run
 
 
+def _weigh(k: int):
+    """(minimiser, bytes): of the unlike strings of a task."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, texts in _slices(batch, "text"):
+                _, _, _, least, strings = cut(texts, k)
+                if not strings:
+                    continue
+                one = dict(zip(strings, least.view(np.int64).tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(one.values()), pa.int64()), pa.array([len(s) for s in one], pa.int64())],
+                    names=["least", "bytes"],
+                )
+
+    return run
+
+
+def spread_of(packed: DataFrame, k: int) -> tuple[int, list[int]]:
+    """(number of buckets, heavy minimisers) for the texts, estimated from one in PART_OF."""
+    some = packed.where(F.pmod("text_key", F.lit(PART_OF)) == 0).select("text")
+    sizes = some.mapInArrow(_weigh(k), "least long, bytes long").groupBy("least").agg(F.sum("bytes").alias("bytes"))
+    sizes = sizes.cache()
+    total = (sizes.agg(F.sum("bytes")).first()[0] or 0) * PART_OF
+    # at most total / HEAVY of them
+    heavy = sizes.where(F.col("bytes") * PART_OF > HEAVY).select("least").collect()
+    sizes.unpersist()
+    return -(-total // BUCKET), sorted(r.least % 2**64 for r in heavy)
+
+
 def repeated(strings: dict[bytes, int], k: int) -> list[tuple[bytes, bytes]]:
     """(string, bits) of the strings with windows that occur twice or more; a bit for each window."""
     import numpy as np
@@ -226,13 +285,15 @@ def _count(k: int):
     return run
 
 
-def _ask(k: int):
+def _ask(k: int, heavy: list[int]):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
+        most = np.array(heavy, np.uint64)
         for batch in batches:
             for lo, texts in _slices(batch, "text"):
-                owner, first, _, _, strings = cut(texts, k)
+                owner, first, _, _, strings = cut(texts, k, most)
                 keys = [_digest(s) for s in strings]
                 rows = pa.array([lo + i for i in owner], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -293,8 +354,8 @@ def dedup_substrings(
     that covers it has the same words as a window that starts anywhere else, in the same text
     included; windows are judged on the input.  The words left are joined by one space.
 
-    buckets: of minimisers, eight for each shuffle partition if not given; a bucket is what one
-    task holds at once.
+    buckets: of minimisers; if not given eight for each shuffle partition, and more where the
+    strings are over BUCKET bytes each.  A bucket is what one task holds at once.
 
     A null or empty text has no words and comes back empty.  Each row is a text of its own, so
     repeated rows lose what they share, wherever it stands.  A null id is an id like others.  An
@@ -303,17 +364,18 @@ def dedup_substrings(
     if k <= STRETCH:
         raise ValueError(f"k must be over {STRETCH}")
     spark = docs.sparkSession
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = pack(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    enough, heavy = spread_of(packed, k)
+    buckets = buckets or max(enough, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     answers = written(
         packed.select("text")
-        .mapInArrow(_send(k, buckets), "bucket int, body binary")
+        .mapInArrow(_send(k, buckets, heavy), "bucket int, body binary")
         .groupBy("bucket")
         .applyInArrow(_count(k), "d1 long, d2 long, bits binary"),
         "repeated-windows",
     )
     asked = packed.select("id", "text_key", "text").mapInArrow(
-        _ask(k), "id long, text_key long, first int, d1 long, d2 long"
+        _ask(k, heavy), "id long, text_key long, first int, d1 long, d2 long"
     )
     found = (
         asked.join(answers, ["d1", "d2"])
