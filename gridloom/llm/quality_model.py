@@ -1,9 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer
 network with temperature-calibrated probabilities.
 
-Each token has a fixed ternary index vector, drawn by its hash.  A word's context vector is the
-sum of its neighbours' index vectors over the sample, and its word vector is both, at unit
-length.  A document is the mean of its tokens' vectors, with a few figures of its shape.  The
+Each token has a hash slot, and each slot a fixed ternary index vector.  A slot's context vector
+is the sum of its words' neighbours' index vectors over the sample, in whole numbers, so that it
+doesn't depend on the order of adding; a word's vector is both, at unit length.  Every word of
+the sample counts and none is listed, so the model's size is fixed.  A document is the mean of its tokens' vectors, with a few figures of its shape.  The
 network is trained on the driver on the sample's pooled vectors only; a part of the sample that
 it doesn't train on sets the temperature.
 
@@ -25,7 +26,9 @@ from .labelled import sample, sampled_texts
 
 #: Letters, digits, signs, and line ends.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n").findall
-DIM, SLOTS, REACH, HIDDEN = 64, 4096, 2, 32
+DIM, SLOTS, REACH, HIDDEN = 64, 1 << 15, 2, 32
+#: Entries of an index vector that aren't zero.
+SET = 8
 #: Figures of a document's shape beside its pooled vector.
 SHAPE = 8
 #: Tokens that a task remembers the vector of.
@@ -37,10 +40,10 @@ def index_vectors():
     import numpy as np
 
     rng = np.random.default_rng(11)
-    out = np.zeros((SLOTS + 1, DIM), np.float32)
-    for row in out:
-        row[rng.choice(DIM, 8, replace=False)] = rng.choice([-1.0, 1.0], 8)
-    return out / np.sqrt(8).astype(np.float32)
+    spots = rng.random((SLOTS + 1, DIM)).argsort(1)[:, :SET]
+    out = np.zeros((SLOTS + 1, DIM), np.int32)
+    np.put_along_axis(out, spots, rng.choice(np.array([-1, 1], np.int32), spots.shape), 1)
+    return out
 
 
 def slot(token: str) -> int:
@@ -50,31 +53,14 @@ def slot(token: str) -> int:
 class _Rows(dict):
     """Row of the vector table for a token, found once.  Capitals have the table's second half."""
 
-    def __init__(self, words: dict[str, int], half: int):
-        self.words, self.half = words, half
-
     def __missing__(self, token: str) -> int:
-        low = token.lower()
-        at = self.words.get(low)
-        at = len(self.words) + slot(low) if at is None else at
-        at += self.half * (len(token) > 1 and token.isupper())
+        at = slot(token.lower()) + SLOTS * (len(token) > 1 and token.isupper())
         if len(self) >= REMEMBERED:
             self.clear()
         self[token] = at
         return at
 
 
-@dataclass
-class Pooling:
-    """words: rows of the words that the sample holds; vectors: theirs, then the hash slots'."""
-
-    words: dict[str, int]
-    vectors: object
-
-    def rows(self) -> _Rows:
-        return _Rows(self.words, len(self.vectors) // 2)
-
-
 def pooled(text: str, rows: _Rows, vectors):
     """The features of a text."""
     import numpy as np
@@ -106,38 +92,31 @@ def pooled(text: str, rows: _Rows, vectors):
 
 
 def _contexts(batches):
-    """(token, n, vector): sums over the task's texts."""
+    """(slot, vector): sums over the task's texts."""
     import numpy as np
     import pyarrow as pa
 
-    index = index_vectors()
-    known: dict[str, int] = {}
-    sums, counts = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.int64)
+    index, slots = index_vectors(), _Rows()
+    sums = np.zeros((SLOTS, DIM), np.int64)
     for batch in batches:
         for t in batch.column("text"):
-            tokens = [x.lower() for x in TOKEN(t.as_py())]
-            if not tokens:
-                continue
-            own = np.fromiter((known.setdefault(x, len(known)) for x in tokens), np.int64, len(tokens))
-            while len(known) > len(sums):
-                sums, counts = np.concatenate((sums, np.zeros_like(sums))), np.concatenate((counts, np.zeros_like(counts)))
-            vectors = index[np.fromiter(map(slot, tokens), np.int64, len(tokens))]
-            near = np.zeros_like(vectors)
-            for d in range(1, REACH + 1):
-                near[d:] += vectors[:-d]
-                near[:-d] += vectors[d:]
-            np.add.at(sums, own, near)
-            np.add.at(counts, own, 1)
-    names = list(known)
-    for lo in range(0, len(names), 8192):
-        part = slice(lo, min(len(names), lo + 8192))
+            tokens = TOKEN(t.as_py().lower())
+            # a part at a time; what it borders on is in both
+            for lo in range(0, len(tokens), 1 << 16):
+                first, end = max(0, lo - REACH), min(len(tokens), lo + (1 << 16))
+                own = np.fromiter(map(slots.__getitem__, tokens[first : end + REACH]), np.int64)
+                vectors = index[own]
+                near = np.zeros_like(vectors)
+                for d in range(1, REACH + 1):
+                    near[d:] += vectors[:-d]
+                    near[:-d] += vectors[d:]
+                np.add.at(sums, own[lo - first : end - first], near[lo - first : end - first])
+    used = np.flatnonzero(sums.any(1))
+    for lo in range(0, len(used), 8192):
+        part = used[lo : lo + 8192]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names[part]),
-                pa.array(counts[part]),
-                pa.array([v.tobytes() for v in sums[part]], pa.binary()),
-            ],
-            names=["token", "n", "vector"],
+            [pa.array(part.astype(np.int32)), pa.array([v.tobytes() for v in sums[part]], pa.binary())],
+            names=["slot", "vector"],
         )
 
 
@@ -145,50 +124,40 @@ def _add(table):
     import numpy as np
     import pyarrow as pa
 
-    coded = table.column("token").combine_chunks().dictionary_encode()
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    size = len(coded.dictionary)
-    sums = np.zeros((size, DIM), np.float32)
-    order = np.argsort(at, kind="stable")
-    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(-1, DIM)
-    # sorted by bytes first, so that the sums don't depend on the rows' order
-    rank = sorted(order.tolist(), key=lambda i: (at[i], vectors[i].tobytes()))
-    np.add.at(sums, at[rank], vectors[rank])
-    n = np.bincount(at, table.column("n").to_numpy(), minlength=size).astype(np.int64)
-    return pa.table(
-        {"token": coded.dictionary, "n": n, "vector": pa.array([v.tobytes() for v in sums], pa.binary())}
-    )
+    at = table.column("slot").to_numpy()
+    own, to = np.unique(at, return_inverse=True)
+    sums = np.zeros((len(own), DIM), np.int64)
+    np.add.at(sums, to, np.frombuffer(b"".join(table.column("vector").to_pylist()), np.int64).reshape(-1, DIM))
+    return pa.table({"slot": pa.array(own, pa.int32()), "vector": pa.array([v.tobytes() for v in sums], pa.binary())})
 
 
-def word_vectors(texts: DataFrame, most_words: int = 20_000) -> Pooling:
-    """Word vectors of the most frequent words of texts, and the hash slots' for all others."""
+def word_vectors(texts: DataFrame):
+    """A vector for each slot, for small letters and then for capitals."""
     import numpy as np
 
     summed = (
         texts.select("text")
-        .mapInArrow(_contexts, "token string, n long, vector binary")
-        .groupBy(F.pmod(F.xxhash64("token"), F.lit(64)))
-        .applyInArrow(_add, "token string, n long, vector binary")
+        .mapInArrow(_contexts, "slot int, vector binary")
+        .groupBy(F.pmod("slot", F.lit(64)))
+        .applyInArrow(_add, "slot int, vector binary")
     )
-    rows = summed.where("n >= 3").orderBy(F.desc("n"), "token").limit(most_words).collect()
-    index = index_vectors()
-    unit = lambda v: v / max(float(np.linalg.norm(v)), 1e-9)
-    words = {r.token: i for i, r in enumerate(rows)}
-    own = [
-        unit(unit(np.frombuffer(r.vector, np.float32)) + unit(index[slot(r.token)])) for r in rows
-    ]
-    plain = np.concatenate((np.array(own, np.float32).reshape(-1, DIM), index[:SLOTS]))
-    return Pooling(words, np.concatenate((plain, (plain + index[SLOTS]) / np.sqrt(2).astype(np.float32))).astype(np.float32))
+    index = index_vectors().astype(np.float64)
+    contexts = np.zeros((SLOTS, DIM))
+    for r in summed.collect():  # a row for each slot at most
+        contexts[r.slot] = np.frombuffer(r.vector, np.int64)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    plain = unit(unit(contexts) + unit(index[:SLOTS]))
+    capital = (plain + index[SLOTS] / np.sqrt(SET)) / np.sqrt(2)
+    return np.concatenate((plain, capital)).astype(np.float32)
 
 
 def _pool(pooling):
     def run(batches):
         import pyarrow as pa
 
-        p = Pooling(*pooling.value)
-        rows = p.rows()
+        vectors, rows = pooling.value, _Rows()
         for batch in batches:
-            out = [pooled(t.as_py(), rows, p.vectors).tobytes() for t in batch.column("text")]
+            out = [pooled(t.as_py(), rows, vectors).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("label"), pa.array(out, pa.binary())],
                 names=["id", "label", "x"],
@@ -210,8 +179,9 @@ class Network:
     def probability(self, x):
         import numpy as np
 
-        h = np.maximum((x - self.mean) / self.spread @ self.w1 + self.b1, 0)
-        z = (h @ self.w2 + self.b2) / self.temperature
+        # without BLAS, whose sums depend on how many rows come at once
+        h = np.maximum(np.einsum("ij,jk->ik", (x - self.mean) / self.spread, self.w1) + self.b1, 0)
+        z = (np.einsum("ij,j->i", h, self.w2) + self.b2) / self.temperature
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -262,12 +232,11 @@ def _score(pooling, network):
         import numpy as np
         import pyarrow as pa
 
-        p = Pooling(*pooling.value)
-        rows = p.rows()
+        vectors, rows = pooling.value, _Rows()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                x = np.stack([pooled(t.as_py(), rows, p.vectors) for t in part.column("text")])
+                x = np.stack([pooled(t.as_py(), rows, vectors) for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("text"), pa.array(network.probability(x), pa.float64())],
                     names=["row", "text", "score"],
@@ -300,9 +269,7 @@ def score_quality(
     packed = pack(docs, id_col, text_col)
     chosen = sample(labels, id_col, label_col, F.lit(True) if train is None else train, most)
     texts = sampled_texts(packed, chosen).cache()
-    fitted = word_vectors(texts)
-    # bounded by most_words; plain values, as workers need not know this package's classes
-    pooling = spark.sparkContext.broadcast((fitted.words, fitted.vectors))
+    pooling = spark.sparkContext.broadcast(word_vectors(texts))  # of a fixed size
     seen = texts.select("id", "label", "text").mapInArrow(_pool(pooling), "id long, label int, x binary").toPandas()
     texts.unpersist()
     seen = seen.sort_values(["id", "x"], kind="stable")
