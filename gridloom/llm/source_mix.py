@@ -110,7 +110,7 @@ def schedule(spark, wanted: list[int]) -> DataFrame:
         dealt.hint("merge")
         .join(before.select("src", "stretch", "before"), ["src", "stretch"])
         .withColumn("rank", F.col("before") + F.col("at"))
-        .join(quota, "src")
+        .join(F.broadcast(quota), "src")  # a row for each source
         .where("rank < wanted")
         .select("slot", "src", "rank")
     )
@@ -142,8 +142,9 @@ def mix_sources(
     target, rounded, from each source, so a document at most `most` times.
 
     A null text has no words.  A text without words is placed and never taken.  Rows of the same
-    id are documents of their own.  A null id comes after the others on ties of the shuffle.  An
-    empty table gives an empty mix.  The driver holds one row for each source.
+    id are documents of their own; where the text is the same too, the other columns break ties, and
+    rows that are copies in every column share what the mix takes of them in any order.  A null id
+    comes after the others on ties of the shuffle.  An empty table gives an empty mix.  The driver holds one row for each source.
     """
     spark = docs.sparkSession
     packed = pack(docs, id_col, text_col)
@@ -155,6 +156,7 @@ def mix_sources(
             F.xxhash64("text").alias("text_key"),
             F.col(f"row.`{key}`").cast("string").alias("source_key"),
             F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+            F.xxhash64(F.to_json("row")).alias("rest_key"),
         ).withColumn("turn", F.xxhash64(F.lit(seed), "id", "text_key")),
         "mix-sizes",
     )
@@ -172,7 +174,7 @@ def mix_sources(
     known = sized.join(sources, F.col("source_key").eqNullSafe(F.col("s_key"))).withColumn(
         "part", F.pmod(F.col("turn"), F.col("parts").cast("long"))
     )
-    within = Window.partitionBy("src", "part").orderBy("turn", "id", "size")
+    within = Window.partitionBy("src", "part").orderBy("turn", "id", "size", "rest_key")
     upto = within.rowsBetween(Window.unboundedPreceding, -1)
     parts = known.groupBy("src", "part").agg(F.sum("size").alias("part_size"))
     over = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -216,21 +218,14 @@ def taken(mix: Mix) -> DataFrame:
 def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """docs as the mix has them: a document as often as it is taken, to the nearest whole number.
 
-    Same defined cases as mix_sources.  Documents without words go.
+    Same defined cases as mix_sources.  Documents without words go.  Each row keeps its own columns.
     """
     many = taken(mix_sources(docs, id_col, text_col, **options))
     times = F.expr("(2 * taken + size) div (2 * size)")
-    copies = (
-        many.where("size > 0")
-        .withColumn("n", times)
-        .where("n > 0")
-        .groupBy("id", "text_key", "src")
-        .agg(F.sum("n").cast("int").alias("n"), F.first("row").alias("r"))
-        .select("id", "text_key", F.col("r"), "n")
-    )
+    copies = many.where("size > 0").withColumn("n", times.cast("int")).where("n > 0").select("id", "text_key", "row", "n")
     packed = pack(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     texts = packed.select("id", "text_key", "text").dropDuplicates(["id", "text_key"])
     rows = texts.join(copies, ["id", "text_key"]).select(
-        F.col("r").alias("row"), "text", F.explode(F.sequence(F.lit(1), "n")).alias("copy")
+        "row", "text", F.explode(F.sequence(F.lit(1), "n")).alias("copy")
     )
     return unpack(rows, docs, text_col, {})
