@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import let, name, pack, unpack, words, written
 
 SYMBOLS = "#*$%&|<>"
-#: ratio -> least distance of its upper fence from the upper quartile
+#: ratio -> default of the least distance of its fences from the quartiles
 RATIOS = {"r_symbols": 100, "r_length": 200, "r_lines": 500, "r_repeat": 300}
 #: Bits of a value that a sketch keeps.
 KEPT_BITS = 5
@@ -81,9 +81,9 @@ def _ratio(top: str, factor: int, bottom: str) -> Column:
 _BUCKET = "shiftleft(shiftright(v, {0}), {0})".format(f"greatest(0, length(bin(v)) - {KEPT_BITS})")
 
 
-def fences(measured: DataFrame, keys: list[str], spread: int, min_docs: int) -> DataFrame:
-    """One row per key: lo_ and hi_ of each ratio, from the key's sketch, or from all documents'
-    where the key has fewer than min_docs documents."""
+def fences(measured: DataFrame, keys: list[str], spread: int, worth: int, least: dict[str, int]) -> DataFrame:
+    """One row per key: lo_ and hi_ of each ratio, from the key's quartiles, drawn towards those of
+    all documents as if `worth` documents more had these."""
     ratios = F.explode(
         F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v")) for r in RATIOS])
     )
@@ -113,11 +113,9 @@ def fences(measured: DataFrame, keys: list[str], spread: int, min_docs: int) ->
         "ratio", F.col("q1").alias("w1"), F.col("q3").alias("w3")
     )
     own = quartiles(cells, keys).join(F.broadcast(whole), "ratio")  # whole: a row per ratio
-    enough = F.col("docs") >= min_docs
-    q1 = F.when(enough, F.col("q1")).otherwise(F.col("w1"))
-    q3 = F.when(enough, F.col("q3")).otherwise(F.col("w3"))
-    least = F.create_map(*[F.lit(x) for kv in RATIOS.items() for x in kv])[F.col("ratio")]
-    reach = F.greatest((q3 - q1) * spread, least)
+    q1, q3 = (F.expr(f"(docs * q{k} + {worth} * w{k}) div (docs + {worth})") for k in (1, 3))
+    lowest = F.create_map(*[F.lit(x) for r in RATIOS for x in (r, least[r])])[F.col("ratio")]
+    reach = F.greatest((q3 - q1) * spread, lowest)
     return (
         own.select(*keys, "ratio", (q1 - reach).alias("lo"), (q3 + reach).alias("hi"))
         .groupBy(*keys)
@@ -139,7 +137,8 @@ def judge_quality(
     source_col: str = "source",
     min_words: int = 50,
     spread: int = 4,
-    min_docs: int = 30,
+    worth: int = 30,
+    least: dict[str, int] | None = None,
 ) -> DataFrame:
     """docs without the text, with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed and kept.
@@ -148,8 +147,13 @@ def judge_quality(
     windows.  The sketches hold the documents that pass.  A document is kept if it passes, and
     symbols per word, repeated lines and repeated words stay at or under the upper fence of its
     language and source and the mean word length is within both.  A fence is spread times the
-    distance of the quartiles away from them, and at least a tenth of a symbol per word, two
-    characters, half of the lines or three tenths of the words.
+    distance of the quartiles away from them.
+
+    worth: documents with the quartiles of the whole that each language and source counts besides
+    its own, so that few documents hardly move a fence.  least: the least distance of a fence from
+    its quartile, which matters where half of all documents agree and the quartiles' distance says
+    nothing; as given a tenth of a symbol per word, two characters, half of the lines, three
+    tenths of the words.
 
     A null text has no words and fails.  A null language or source is a group of its own.
     Equal rows get equal results; an empty table gives an empty one.  Text is never shuffled:
@@ -178,7 +182,7 @@ def judge_quality(
         "quality-rules",
     )
     by = ["k_lang", "k_source"]
-    limits = fences(measured.where(~F.col("base_failed")), by, spread, min_docs)
+    limits = fences(measured.where(~F.col("base_failed")), by, spread, worth, RATIOS | (least or {}))
     parts = limits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).select(
         *[F.col(k).alias(f"f_{k}") for k in by], "part", *[c for c in limits.columns if c not in by]
     )

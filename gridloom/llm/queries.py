@@ -180,7 +180,7 @@ WITH texts AS (
          min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3
   FROM own GROUP BY ALL
 ), picked AS (
-  SELECT lang, source, ratio, least_reach, CASE WHEN docs >= 30 THEN q1 ELSE w1 END AS q1, CASE WHEN docs >= 30 THEN q3 ELSE w3 END AS q3
+  SELECT lang, source, ratio, least_reach, ((docs * q1 + 30 * w1) // (docs + 30))::BIGINT AS q1, ((docs * q3 + 30 * w3) // (docs + 30))::BIGINT AS q3
   FROM quartiles JOIN whole USING (ratio)
 ), fences AS (
   SELECT lang, source, ratio, q1 - greatest((q3 - q1) * 4, least_reach) AS lo, q3 + greatest((q3 - q1) * 4, least_reach) AS hi FROM picked
