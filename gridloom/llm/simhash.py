@@ -7,7 +7,8 @@ down.  So the first segment of that chain is equal and the second differs in one
 a fingerprint looks its partners up by these two segments, with each bit of the second flipped
 in turn.  Longer chains and then the full distance are checked in the same join.
 
-Equal fingerprints are one vertex from the start, so exact copies make no pairs.  Components
+Equal fingerprints are one vertex from the start, so exact copies make no pairs, and a cloud of
+unlike ones is linked through a representative of each key instead of pair by pair.  Components
 come from alternating large-star and small-star steps on tables in the shared folder.
 """
 
@@ -80,8 +81,21 @@ def _chains(tau: int, start: int) -> list[tuple[int, int]]:
     return out
 
 
-def near_pairs(vertices: DataFrame, tau: int = 4) -> DataFrame:
-    """All pairs (a, b) of the distinct fingerprints fp with a < b and at most tau differing bits."""
+def _within(a: Column, b: Column, i: Column, tau: int) -> Column:
+    """Whether a and b differ in tau bits at most, and all chains from the segment i on keep to
+    their shares."""
+    x = a.bitwiseXOR(b)
+    longer = F.lit(False)
+    for k, (start, _) in enumerate(_ring(tau)):
+        held = i == k
+        for bits, most in _chains(tau, k)[2:]:
+            held &= F.bit_count(_turned(x, start).bitwiseAND(_low(bits))) <= most
+        longer |= held
+    return longer & (F.bit_count(x) <= tau)
+
+
+def _looked_up(vertices: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
+    """(probes (a, i, key), index (b, i, key)): partners meet where i and key are equal."""
     if tau < 1:
         raise ValueError("tau must be 1 or more")
     ring = _ring(tau)
@@ -105,17 +119,39 @@ def near_pairs(vertices: DataFrame, tau: int = 4) -> DataFrame:
             .select(fp, e["i"].alias("i"), key(F.col(fp), e["i"]).bitwiseXOR(e["flip"]).alias("key"))
         )
 
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    longer = F.lit(False)
-    for i, (start, _) in enumerate(ring):
-        held = F.col("p.i") == i
-        for bits, most in _chains(tau, i)[2:]:
-            held &= F.bit_count(_turned(x, start).bitwiseAND(_low(bits))) <= most
-        longer |= held
-    within = (F.col("a") < F.col("b")) & longer & (F.bit_count(x) <= tau)
+    return dealt(probes, "a"), dealt(index, "b")
+
+
+def near_pairs(vertices: DataFrame, tau: int = 4) -> DataFrame:
+    """All pairs (a, b) of the distinct fingerprints fp with a < b and at most tau differing bits."""
+    probes, index = _looked_up(vertices, tau)
     same = (F.col("p.i") == F.col("q.i")) & (F.col("p.key") == F.col("q.key"))
-    probe, found = dealt(probes, "a").alias("p"), dealt(index, "b").alias("q")
-    return probe.join(found, same & within).select("a", "b").distinct()
+    within = (F.col("a") < F.col("b")) & _within(F.col("a"), F.col("b"), F.col("p.i"), tau)
+    return probes.alias("p").join(index.alias("q"), same & within).select("a", "b").distinct()
+
+
+def near_links(vertices: DataFrame, tau: int = 4) -> DataFrame:
+    """Pairs (a, b) of fingerprints of at most tau differing bits that link what all such pairs
+    link, without all pairs of a cloud.
+
+    Each key has a representative, the smallest fingerprint in its index.  What is near it is
+    linked to it, and two that are near it needn't meet; only what isn't near it meets the rest.
+    """
+    probes, index = _looked_up(vertices, tau)
+    near = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col("rep"))) <= tau
+    reps = index.groupBy("i", "key").agg(F.min("b").alias("rep"))
+    # a probe whose key isn't in the index has no partners
+    asked = probes.join(reps, ["i", "key"]).withColumn("covered", near("a"))
+    found = index.join(reps, ["i", "key"]).withColumn("covered", near("b"))
+    to_rep = asked.where("covered and a <> rep").select("a", F.col("rep").alias("b"))
+    left = asked.select("a", "i", "key", "covered").alias("p")
+    # whoever isn't covered meets all of the key; the covered meet those who aren't
+    both = found.select("b", "i", "key", F.explode(F.when(F.col("covered"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("covered")).alias("q")
+    same = (F.col("p.i") == F.col("q.i")) & (F.col("p.key") == F.col("q.key")) & (F.col("p.covered") == F.col("q.covered"))
+    unlike = (F.col("a") != F.col("b")) & _within(F.col("a"), F.col("b"), F.col("p.i"), tau)
+    return to_rep.union(left.join(both, same & unlike).select("a", "b")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ).distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -152,7 +188,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 def _rooted(found: DataFrame, first: Column, tau: int) -> DataFrame:
     """(fp, first, root) of each fingerprint of found; first is the least of its rows' values."""
     vertices = written(found.groupBy("fp").agg(F.min(first).alias("first")), "simhash-vertices")
-    linked = components(near_pairs(vertices, tau), "simhash-components")
+    linked = components(near_links(vertices, tau), "simhash-components")
     return vertices.join(linked, vertices.fp == linked.vertex, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
