@@ -10,6 +10,7 @@ Rules that hold for each of them:
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,10 +69,13 @@ def let(value: Column, body) -> Column:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder's path below spark.checkpoint.dir; the folder goes when the driver ends.
 
-    Where the setting is absent, as in tests, a local folder is set.
+    Where the setting is absent, a local session gets a local folder; a cluster must have it set,
+    as its machines can't read each other's folders.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         top = "file://" + tempfile.mkdtemp(prefix="gridloom-")
