@@ -58,6 +58,7 @@ class Mapping:
     explored_threshold: float = 1.0
     explored_radius: int = 10
     close_radius: int = 20
+    blacklist_radius: int = 20
 
 
 @dataclass(frozen=True)

@@ -35,16 +35,22 @@ def rank_quantiles(df: DataFrame, keys: list[str], value: str, bins: int) -> Dat
         *keys,
         F.col(value).cast("double").alias("_v"),
         (F.row_number().over(w.orderBy(value)) - 1).cast("long").alias("_r"),
-        F.count("*").over(w).alias("_n"),
     )
-    steps = ranked.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bins))))
     pos = F.col("k") * (F.col("_n") - 1)
-    low, rest = F.floor(pos / bins), pos % bins
-    near = steps.where((F.col("_r") == low) | (F.col("_r") == F.least(low + 1, F.col("_n") - 1)))
-    lo = F.max(F.when(F.col("_r") == low, F.col("_v")))
-    hi = F.max(F.when(F.col("_r") == F.least(low + 1, F.col("_n") - 1), F.col("_v")))
-    part = F.max((rest / bins).cast("double"))
-    return near.groupBy(*keys, "k").agg((lo + (hi - lo) * part).alias("edge"))
+    asked = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bins))))
+        .withColumn("_low", F.floor(pos / bins))
+        .withColumn("_part", (pos % bins / bins).cast("double"))
+        .withColumn("_high", F.least(F.col("_low") + 1, F.col("_n") - 1))
+        .withColumn("_r", F.explode(F.array_distinct(F.array("_low", "_high"))))
+    )
+    # two ranks for each edge are looked up; no row is copied
+    near = ranked.join(asked, [*keys, "_r"])
+    lo = F.max(F.when(F.col("_r") == F.col("_low"), F.col("_v")))
+    hi = F.max(F.when(F.col("_r") == F.col("_high"), F.col("_v")))
+    return near.groupBy(*keys, "k").agg((lo + (hi - lo) * F.max("_part")).alias("edge"))
 
 
 def numbered(df: DataFrame, order: list[Column | str], coarse: Column, name: str, start: int = 0) -> DataFrame:

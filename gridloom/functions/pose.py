@@ -240,3 +240,52 @@ def rotation_between(a: Column, b: Column) -> Column:
 def bearing(from_x: Column, from_z: Column, heading: Column, to_x: Column, to_z: Column) -> Column:
     """Signed angle in the xz plane from a heading to a place."""
     return normalize_radians(F.atan2(to_x - from_x, to_z - from_z) - heading)
+
+
+def planar_state(position: Column, q: Column) -> Column:
+    """(x, y, heading) in the plane of a place (x, y, z) with y up and a quaternion: x ahead along
+    -z, y to the left along -x, the heading in (-pi, pi].
+
+    The heading is the middle one of the quaternion's z-y-z angles, or the full turn less it where
+    the first of these isn't 0.
+    """
+
+    def state(p: Column, q: Column) -> Column:
+        first = F.atan2(q["z"], q["w"]) + F.atan2(-q["x"], q["y"])
+        length = q["w"] * q["w"] + q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"]
+        middle = 2 * F.acos(F.least(F.lit(1.0), F.sqrt((q["w"] * q["w"] + q["z"] * q["z"]) / length)))
+        turn = F.pmod(first, F.lit(2 * math.pi))
+        still = (turn < 0.1) | (turn > 2 * math.pi - 0.1)
+        heading = F.when(still, middle).otherwise(2 * math.pi - middle)
+        return F.struct(
+            (-p["z"]).alias("x"), (-p["x"]).alias("y"),
+            F.when(heading > math.pi, heading - 2 * math.pi).otherwise(heading).alias("heading"),
+        )
+
+    return _pair(position, q, state)
+
+
+def matrix_product(a: Column, b: Column) -> Column:
+    """Of two 3 x 3 matrices, row by row."""
+    cell = lambda a, b, r, c: sum((F.get(a, F.lit(3 * r + k)) * F.get(b, F.lit(3 * k + c)) for k in range(3)), F.lit(0.0))
+    return _pair(a, b, lambda a, b: F.array(*[cell(a, b, r, c) for r in range(3) for c in range(3)]))
+
+
+def look_at(up_from: Column, ahead_from: Column, up_to: Column, ahead_to: Column) -> Column:
+    """The matrix that turns a camera with the first up and viewing direction to the second ones:
+    the shortest turn of the viewing direction, then a roll about it."""
+
+    def rolled(first: Column, p: Column) -> Column:
+        side = matrix_vector(first, (F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+
+        def roll(side: Column, goal: Column) -> Column:
+            angle = angle_between(side, goal)
+            flip = dot(p["ahead"], cross(side, goal))
+            # near a half turn the direction doesn't matter
+            signed = F.when((flip < 0) & (angle < math.pi - 0.001), -angle).otherwise(angle)
+            return matrix_product(axis_angle_matrix(p["ahead"], signed), first)
+
+        return _pair(side, unit(cross(p["ahead"], p["up"])), roll)
+
+    goal = F.struct(unit(ahead_to).alias("ahead"), unit(up_to).alias("up"))
+    return _pair(rotation_between(unit(ahead_from), unit(ahead_to)), goal, rolled)

@@ -49,15 +49,9 @@ def class_maps(classes: DataFrame, buckets: DataFrame, cls: str = "class_name")
     return out
 
 
-def document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row: the JSON text with the three lists, each by id.
-
-    The format is one document, so it is as large as its data set; write_document of
-    sources.sinks writes it in parts instead.
-    """
-    part = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in df.columns if c != "id"]))).alias(name))
-    a, b, c = part(images, "images"), part(annotations, "annotations"), part(categories, "categories")
-    return a.join(b).join(c).select(F.to_json(F.struct("images", "annotations", "categories")).alias("document"))
+def document_rows(rows: DataFrame) -> DataFrame:
+    """(id, entry): each row as JSON text, its id first; what one list of a document holds."""
+    return rows.select("id", F.to_json(F.struct("id", *[c for c in rows.columns if c != "id"])).alias("entry"))
 
 
 def episodes(views: DataFrame, keys: list[str], episode: Column, scene: Column, order: list[str], least: int = 4, radius: float = 0.1) -> DataFrame:

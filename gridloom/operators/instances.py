@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stencil import disk, inside, shifted
+from .morphology import grey_dilate
 
 
 def mask_areas(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,12 +60,13 @@ def crop_ranges(views: DataFrame, pad: int, height: int, width: int) -> DataFram
 def associate(local: DataFrame, world: DataFrame, height: int, width: int, radius: int = 5, keys: tuple[str, ...] = ("env",)) -> DataFrame:
     """(keys..., category, local_id, global_id, new): which instance of the map a local one is.
 
-    local and world are cells (keys..., category, id, row, col) with ids over 0.  A local id is
-    the smallest instance of its category under its cells, made larger by a disk.  The others get
-    new ids over the map's largest, in the order of category and local id.
+    local and world are cells (keys..., category, id, row, col) with ids over 0.  The local labels
+    of a category are made larger by a disk, where the largest wins a cell.  A local id is the
+    smallest instance of its category under the cells that are then its own.  The others get new
+    ids over the map's largest, in the order of category and local id.
     """
     on = [*keys, "category", "row", "col"]
-    grown = shifted(local, disk(radius)).where(inside(height, width)).distinct()
+    grown = grey_dilate(local.select(*on, "id"), radius, height, width, "id")
     met = grown.withColumnRenamed("id", "local_id").join(world.withColumnRenamed("id", "_g"), on)
     match = met.groupBy(*keys, "category", "local_id").agg(F.min("_g").alias("_g"))
     ids = local.select(*keys, "category", F.col("id").alias("local_id")).distinct()

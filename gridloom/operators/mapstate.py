@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import BEEN_CLOSE, BLACKLISTED, CURRENT, EXPLORED, NON_SEMANTIC, OBSTACLE, VISITED, Mapping, MapSize
 from .grid import recentre
-from .morphology import max_pool
+from .morphology import dilate, max_pool
 from .stencil import disk, inside, shifted, square
 
 CELL = ["env", "channel", "row", "col"]
@@ -65,15 +65,17 @@ def stamps(places: DataFrame, mapping: Mapping, size: int, step: str = "step", b
     out = out.unionByName(stamp_places(places, EXPLORED, disk(mapping.explored_radius), size))
     out = out.unionByName(stamp_places(places, BEEN_CLOSE, disk(mapping.close_radius), size))
     if blacklist is not None:
-        out = out.unionByName(stamp_places(blacklist, BLACKLISTED, disk(mapping.close_radius), size))
+        out = out.unionByName(stamp_places(blacklist, BLACKLISTED, disk(mapping.blacklist_radius), size))
     return out
 
 
 def only_been_close(cells: DataFrame) -> DataFrame:
-    """Explored and obstacle cells count only where the agent has been close."""
-    close = cells.where((F.col("channel") == BEEN_CLOSE) & (F.col("value") > 0)).select("env", "row", "col")
+    """Explored and obstacle cells times the value of been-close; cells that this makes 0 go.
+    cells has a row for each cell and channel at most."""
+    close = cells.where(F.col("channel") == BEEN_CLOSE).select("env", "row", "col", F.col("value").alias("_close"))
     bound = F.col("channel").isin(OBSTACLE, EXPLORED)
-    return cells.where(~bound).unionByName(cells.where(bound).join(close, ["env", "row", "col"], "left_semi").select(*cells.columns))
+    scaled = cells.where(bound).join(close, ["env", "row", "col"]).withColumn("value", F.col("value") * F.col("_close"))
+    return cells.where(~bound).unionByName(scaled.where("value <> 0").select(*cells.columns))
 
 
 def write_back(world: DataFrame, local: DataFrame, windows: DataFrame) -> DataFrame:
@@ -118,13 +120,29 @@ def channel(cells: DataFrame, number: int) -> DataFrame:
     return cells.where(F.col("channel") == number).select("env", "row", "col", "value")
 
 
-def display_layers(cells: DataFrame, goal: DataFrame, closest: DataFrame) -> DataFrame:
-    """(env, row, col, layer) by priority: 5 closest goal, 4 goal, 3 visited, 2 obstacle, 1 explored."""
-    layer = F.when(F.col("channel") == VISITED, 3).when(F.col("channel") == OBSTACLE, 2).when(F.col("channel") == EXPLORED, 1)
-    rows = cells.where(F.col("value") > 0).select("env", "row", "col", layer.alias("layer")).where("layer is not null")
-    rows = rows.unionByName(goal.select("env", "row", "col", F.lit(4).alias("layer")))
-    rows = rows.unionByName(closest.select("env", "row", "col", F.lit(5).alias("layer")))
-    return rows.groupBy("env", "row", "col").agg(F.max("layer").alias("layer"))
+def display_layers(cells: DataFrame, categories: DataFrame, goal: DataFrame, closest: DataFrame, height: int, width: int, radius: int = 4) -> DataFrame:
+    """(env, row, col, layer, category) by priority: 6 closest goal, 5 goal, 4 visited, 3 a
+    category, 2 obstacle, 1 explored.
+
+    categories (env, row, col, category) as semantic_map gives them; category 0 counts as none.
+    Obstacles and explored cells are those whose value rounds to 1.  Goals are made larger by a
+    disk.  category is null in other layers.
+    """
+    one = F.rint("value") == 1
+    layer = (
+        F.when((F.col("channel") == VISITED) & (F.col("value") > 0), 4)
+        .when((F.col("channel") == OBSTACLE) & one, 2)
+        .when((F.col("channel") == EXPLORED) & one, 1)
+    )
+    none = F.lit(None).cast("int").alias("category")
+    rows = cells.select("env", "row", "col", layer.alias("layer"), none).where("layer is not null")
+    named = categories.where("category <> 0").select("env", "row", "col", F.lit(3).alias("layer"), F.col("category").cast("int"))
+    rows = rows.unionByName(named)
+    for spots, number in ((goal, 5), (closest, 6)):
+        grown = dilate(spots.select("env", "row", "col"), disk(radius), height, width)
+        rows = rows.unionByName(grown.select("env", "row", "col", F.lit(number).alias("layer"), none))
+    top = F.max(F.struct("layer", "category")).alias("_t")
+    return rows.groupBy("env", "row", "col").agg(top).select("env", "row", "col", "_t.layer", "_t.category")
 
 
 def sessions(steps: DataFrame, done: str = "done", step: str = "step") -> DataFrame:

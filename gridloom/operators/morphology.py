@@ -6,6 +6,9 @@ height x width; a missing cell is 0.
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,25 @@ def complement(cells: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def erode(cells: DataFrame, offsets: Offsets, height: int, width: int) -> DataFrame:
-    """Cells outside the image count as set."""
+    """Cells outside the image count as set.
+
+    If the offsets have, with each one, all that are nearer by rows or columns, as disks and
+    squares do, only the holes that touch a cell travel: what a hole further in reaches, one of
+    these reaches too.
+    """
     holes = complement(cells, height, width)
+    if _closed(offsets):
+        beside = shifted(cells, [o for o in plus() if o != (0, 0)]).where(inside(height, width)).distinct()
+        holes = holes.join(beside, cells.columns, "left_semi")
     return cells.join(dilate(holes, offsets, height, width), cells.columns, "left_anti")
 
 
+def _closed(offsets: Offsets) -> bool:
+    have = set(offsets)
+    nearer = lambda v: v - (v > 0) + (v < 0)
+    return all((nearer(a), b) in have and (a, nearer(b)) in have for a, b in have)
+
+
 def opening(cells: DataFrame, offsets: Offsets, height: int, width: int) -> DataFrame:
     return dilate(erode(cells, offsets, height, width), offsets, height, width)
 
@@ -48,7 +65,8 @@ def closing(cells: DataFrame, offsets: Offsets, height: int, width: int) -> Data
 
 
 def denoise(cells: DataFrame, offsets: Offsets, height: int, width: int) -> DataFrame:
-    return closing(opening(cells, offsets, height, width), offsets, height, width)
+    """Closed, so that small holes go, and then opened, so that small cells go."""
+    return opening(closing(cells, offsets, height, width), offsets, height, width)
 
 
 def expand_mask(cells: DataFrame, radius: int, height: int, width: int) -> DataFrame:
@@ -146,12 +164,16 @@ def components(cells: DataFrame, offsets: Offsets) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """df computed and its lineage cut, in the folder of spark.checkpoint.dir."""
+    """df computed and its lineage cut, in the folder of spark.checkpoint.dir, which only a local
+    session may leave unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[[^\]]*\])?$", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Camera, Mapping
+from ..config import EXPLORED, OBSTACLE, Camera, Mapping, MapSize
 from .morphology import avg_pool
 from .stencil import inside, literal
 
@@ -111,36 +111,55 @@ def place_patch(cells: DataFrame, mapping: Mapping) -> DataFrame:
     return moved.where(inside(small, small))
 
 
-def resample(values: DataFrame, keys: list[str], size: int, dr: Column, dc: Column, angle: Column) -> DataFrame:
-    """values (keys..., row, col, value) of a size x size image turned by angle about its middle and
-    moved by (dr, dc) cells, by bilinear weights.
+def _pass(values: DataFrame, keys: list[str], size: int, angle: Column, x: Column, y: Column) -> DataFrame:
+    """One bilinear pass.  The middle of output cell i lies at (2 i + 1) / size - 1; it is turned
+    by angle, moved by (x, y) and read where -1 and 1 are the middles of the first and last cells.
 
-    Each input cell gives to the output cells whose source lies within one cell of it: the cells
-    about its own image.  Results are in [0, 1]; what leaves the image is lost.
+    Each input cell gives to the output cells that read within one cell of it, which lie about
+    its own image.
     """
-    mid = (size - 1) / 2
-    r, c = F.col("row") - mid, F.col("col") - mid
-    turned = values.withColumn("_a", angle).withColumn("_dr", dr).withColumn("_dc", dc)
-    turned = turned.withColumn("_r", r * F.cos("_a") + c * F.sin("_a") + mid + F.col("_dr"))
-    turned = turned.withColumn("_c", -r * F.sin("_a") + c * F.cos("_a") + mid + F.col("_dc"))
-    near = F.explode(literal([(a, b) for a in range(-1, 3) for b in range(-1, 3)]))
-    spots = turned.withColumn("_o", near).select(
-        *keys, F.col("row").alias("_sr"), F.col("col").alias("_sc"), "value", "_a", "_dr", "_dc",
+    mid, grow = (size - 1) / 2, size / (size - 1)
+    at = values.withColumns({"_a": angle, "_x": x, "_y": y})
+    c = (F.col("col") - mid) * grow - F.col("_x") * size / 2
+    r = (F.col("row") - mid) * grow - F.col("_y") * size / 2
+    at = at.withColumn("_c", c * F.cos("_a") + r * F.sin("_a") + mid).withColumn("_r", r * F.cos("_a") - c * F.sin("_a") + mid)
+    near = F.explode(literal([(i, j) for i in range(-1, 3) for j in range(-1, 3)]))
+    spots = at.withColumn("_o", near).select(
+        *keys, F.col("row").alias("_sr"), F.col("col").alias("_sc"), "value", "_a", "_x", "_y",
         (F.floor("_r") + F.col("_o.dr")).cast("int").alias("row"),
         (F.floor("_c") + F.col("_o.dc")).cast("int").alias("col"),
     )
-    orr, occ = F.col("row") - mid - F.col("_dr"), F.col("col") - mid - F.col("_dc")
-    back_r = orr * F.cos("_a") - occ * F.sin("_a") + mid
-    back_c = orr * F.sin("_a") + occ * F.cos("_a") + mid
-    weight = F.greatest(F.lit(0.0), 1 - F.abs(back_r - F.col("_sr"))) * F.greatest(F.lit(0.0), 1 - F.abs(back_c - F.col("_sc")))
-    summed = (
+    u, v = (2 * F.col("col") + 1) / size - 1, (2 * F.col("row") + 1) / size - 1
+    read_c = (u * F.cos("_a") - v * F.sin("_a") + F.col("_x") + 1) * mid
+    read_r = (u * F.sin("_a") + v * F.cos("_a") + F.col("_y") + 1) * mid
+    weight = F.greatest(F.lit(0.0), 1 - F.abs(read_r - F.col("_sr"))) * F.greatest(F.lit(0.0), 1 - F.abs(read_c - F.col("_sc")))
+    return (
         spots.where(inside(size, size))
         .withColumn("_w", weight * F.col("value"))
-        .where("_w > 0")
+        .where("_w <> 0")
         .groupBy(*keys, "row", "col")
         .agg(F.sum("_w").alias("value"))
     )
-    return summed.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value"))))
+
+
+def resample(values: DataFrame, keys: list[str], size: int, x: Column, y: Column, angle: Column) -> DataFrame:
+    """values (keys..., row, col, value) of a size x size image, turned by angle about its middle
+    and then moved by (x, y), in halves of the image, each by a bilinear pass of its own.
+
+    angle, x and y are constants or made of keys.  Results are cut to [0, 1]; what leaves the
+    image is lost.
+    """
+    zero = F.lit(0.0)
+    turned = _pass(values.select(*keys, "row", "col", "value"), keys, size, angle, zero, zero)
+    moved = _pass(turned, keys, size, zero, x, y)
+    return moved.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value"))))
+
+
+def map_pose(x_m: Column, y_m: Column, heading_deg: Column, size: MapSize) -> tuple[Column, Column, Column]:
+    """(x, y, angle) for resample() of an agent's place and heading in the local map."""
+    half = size.local_cells // 2
+    part = lambda c: -((c * 100 / size.resolution_cm - half) / half)
+    return part(x_m), part(y_m), F.radians(90.0 - heading_deg)
 
 
 def patch_of_frames(pixels: DataFrame, camera: Camera, mapping: Mapping, keys: list[str], sensor_height: float, elevation_deg: float = 0.0) -> DataFrame:
@@ -155,3 +174,19 @@ def patch_of_frames(pixels: DataFrame, camera: Camera, mapping: Mapping, keys: l
         [mapping.vision_range, mapping.vision_range, mapping.max_voxel - mapping.min_voxel],
     )
     return project_heights(voxels, mapping, keys)
+
+
+def map_patches(frames: DataFrame, poses: DataFrame, camera: Camera, mapping: Mapping, sensor_height: float, elevation_deg: float = 0.0) -> DataFrame:
+    """(env, step, channel, row, col, value): what each frame (env, step, row, col, depth in cm)
+    adds to its local map, seen from the pose (env, step, local_x, local_y, heading_deg).
+
+    Frames become patches, patches are placed ahead of the agent, turned and moved.
+    """
+    keys = ["env", "step"]
+    placed = place_patch(patch_of_frames(frames, camera, mapping, keys, sensor_height, elevation_deg), mapping)
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(n).alias("value")) for n, c in (("obstacle", OBSTACLE), ("explored", EXPLORED))]))
+    cells = placed.select(*keys, "row", "col", pair.alias("_p")).select(*keys, "_p.channel", "row", "col", "_p.value").where("value > 0")
+    x, y, angle = map_pose(F.col("local_x"), F.col("local_y"), F.col("heading_deg"), mapping.size)
+    posed = cells.join(poses.select(*keys, x.alias("_px"), y.alias("_py"), angle.alias("_pa")), keys)
+    every = [*keys, "channel", "_px", "_py", "_pa"]
+    return resample(posed, every, mapping.size.local_cells, F.col("_px"), F.col("_py"), F.col("_pa")).select(*keys, "channel", "row", "col", "value")

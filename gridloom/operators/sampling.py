@@ -125,7 +125,7 @@ def coverage_sample(samples: DataFrame, num_samples: int, seed: int = 0, key: st
 def balanced_weights(marginals: list[list[float]], counts: list[float], rounds: int = 200) -> list[float]:
     """Probabilities of sample kinds that make the expected class counts as equal as they can be.
 
-    marginals[i][c]: objects of class c in a sample of kind i; counts[i]: samples of that kind.
+    marginals[i][c]: 1 if a sample of kind i has the class c, else 0; counts[i]: samples of that kind.
     Minimises C * |q|^2 - (sum q)^2 for q the expected counts, over the simplex with a floor, by
     exponentiated gradient steps; only class sums are formed, never a matrix of samples.
     """
@@ -148,17 +148,17 @@ def balanced_weights(marginals: list[list[float]], counts: list[float], rounds:
 def balanced_sample(samples: DataFrame, num_samples: int, seed: int = 0, key: str = "key", classes: str = "classes") -> DataFrame:
     """num_samples samples, drawn without replacement so that classes come out balanced.
 
-    classes: array of a sample's class names, repeats included.  Samples with the same classes
-    share a weight; the driver holds one row for each such kind.  The draw takes the smallest
+    classes: array of a sample's class names; a class counts once however often it stands there.
+    Samples with the same classes share a weight; the driver holds one row for each such set.  The draw takes the smallest
     -ln(u) / p, with u from the key's hash.
     """
-    kind = F.array_sort(classes)
+    kind = F.array_sort(F.array_distinct(classes))
     kinds = samples.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n")).collect()
     if not kinds:
         return samples
     kinds.sort(key=lambda r: list(r.kind))
     names = sorted({c for r in kinds for c in r.kind})
-    rows = [[float(list(r.kind).count(c)) for c in names] for r in kinds]
+    rows = [[float(c in r.kind) for c in names] for r in kinds]
     weights = balanced_weights(rows, [float(r.n) for r in kinds]) if names else [1.0] * len(kinds)
     lookup = samples.sparkSession.createDataFrame([(list(r.kind), w) for r, w in zip(kinds, weights, strict=True)], "kind array<string>, p double")
     u = (F.conv(F.substring(hash_order(seed, key), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)

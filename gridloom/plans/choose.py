@@ -52,8 +52,8 @@ def area_bin_sample(spark, d):
 def _area_sql(group: str, area: str, n: int) -> str:
     return f"""WITH base AS (SELECT {group} AS g, {SQL_KEY} AS k, ({area})::DOUBLE AS a FROM lineitem JOIN part ON l_partkey = p_partkey),
 s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY a) - 1 AS r, count(*) OVER (PARTITION BY g) AS n, md5('0:' || k) AS h, md5('1:' || k) AS h2 FROM base),
-q AS (SELECT g, b, max(CASE WHEN r = (b * (n - 1)) // 10 THEN a END) AS lo, max(CASE WHEN r = least((b * (n - 1)) // 10 + 1, n - 1) THEN a END) AS hi,
-  max(((b * (n - 1)) % 10) / 10::DOUBLE) AS f FROM s, range(11) t(b) GROUP BY g, b),
+k AS (SELECT g, b, (b * (n - 1)) // 10 AS low, least((b * (n - 1)) // 10 + 1, n - 1) AS high, ((b * (n - 1)) % 10) / 10::DOUBLE AS f FROM (SELECT DISTINCT g, n FROM s), range(11) t(b)),
+q AS (SELECT k.g, b, x.a AS lo, y.a AS hi, f FROM k JOIN s x ON x.g = k.g AND x.r = k.low JOIN s y ON y.g = k.g AND y.r = k.high),
 e AS (SELECT g, list_sort(list(DISTINCT lo + (hi - lo) * f)) AS edges FROM q GROUP BY g),
 j AS (SELECT s.*, len(edges) AS m, edges, row_number() OVER (PARTITION BY g ORDER BY h, k) AS u FROM s JOIN e USING (g)),
 p AS (SELECT *, m - 1 AS bins, least(m - 1, 5) AS kept,
@@ -314,13 +314,13 @@ REJECTED = f"SELECT l_suppkey, k FROM (SELECT l_suppkey, {SQL_KEY} AS k FROM lin
 
 
 def mask_overlap(spark, d):
-    l = read(spark, d, "lineitem").where("l_orderkey <= 4000")
+    l = read(spark, d, "lineitem")
     pixels = l.select((F.col("l_suppkey") % 10).alias("frame_id"), F.col("l_orderkey").alias("pred_id"), (F.col("l_partkey") % 50).alias("row"), F.col("l_linenumber").cast("long").alias("col"))
     targets = read(spark, d, "part").where("p_size > 35").select((F.col("p_partkey") % 10).alias("frame_id"), (F.col("p_partkey") % 50).alias("row"), (F.col("p_size") % 7).cast("long").alias("col"))
     return curation.overlapping(pixels, targets, "frame_id", "pred_id")
 
 
-MASK_OVERLAP = """SELECT DISTINCT l_suppkey % 10 AS frame_id, l_orderkey AS pred_id FROM lineitem WHERE l_orderkey <= 4000 AND EXISTS (
+MASK_OVERLAP = """SELECT DISTINCT l_suppkey % 10 AS frame_id, l_orderkey AS pred_id FROM lineitem WHERE EXISTS (
 SELECT 1 FROM part WHERE p_size > 35 AND p_partkey % 10 = l_suppkey % 10 AND p_partkey % 50 = l_partkey % 50 AND p_size % 7 = l_linenumber)"""
 
 
@@ -335,12 +335,12 @@ SELECT pred_id, class_name, score FROM p QUALIFY row_number() OVER (PARTITION BY
 
 def hit_rate(spark, d):
     kept = mask_overlap(spark, d)
-    l = read(spark, d, "lineitem").where("l_orderkey <= 4000")
+    l = read(spark, d, "lineitem")
     preds = l.select((F.col("l_suppkey") % 10).alias("frame_id"), F.col("l_orderkey").alias("pred_id"), F.col("l_returnflag").alias("class_name")).distinct()
     return curation.hit_rates(kept, preds, ["frame_id", "pred_id"])
 
 
-HIT_RATE = f"""WITH k AS ({MASK_OVERLAP}), p AS (SELECT DISTINCT l_suppkey % 10 AS frame_id, l_orderkey AS pred_id, l_returnflag AS class_name FROM lineitem WHERE l_orderkey <= 4000)
+HIT_RATE = f"""WITH k AS ({MASK_OVERLAP}), p AS (SELECT DISTINCT l_suppkey % 10 AS frame_id, l_orderkey AS pred_id, l_returnflag AS class_name FROM lineitem)
 SELECT class_name, count(*) AS predictions, count(k.pred_id) AS hits, count(k.pred_id) / count(*) AS rate FROM p LEFT JOIN k USING (frame_id, pred_id) GROUP BY 1"""
 
 
@@ -353,19 +353,21 @@ COVER_SAMPLES = "SELECT l_orderkey FROM lineitem WHERE l_suppkey % 10 IN (1, 2)
 
 
 def kmeans_assign(spark, d):
-    points = read(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
-    found = sampling.assign_nearest(points, [[0.0, 0.0, 0.0], [0.25, 0.0, 0.0], [0.0, -0.25, 0.0], [0.0, 0.0, 0.5]])
+    points = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    found = sampling.assign_nearest(points, [[v if i == at else 0.0 for i in range(64)] for at, v in _CENTRES])
     return found.select("vec_id", "cluster", F.round("d2", 6).alias("d2"))
 
 
-_C = ("(0, 0.0, 0.0, 0.0)", "(1, 0.25, 0.0, 0.0)", "(2, 0.0, -0.25, 0.0)", "(3, 0.0, 0.0, 0.5)")
-KMEANS_ASSIGN = f"""WITH c(cluster, x, y, z) AS (VALUES {', '.join(_C)}), p AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS e FROM embeddings),
-f AS (SELECT vec_id, cluster, (a - x) * (a - x) + (b - y) * (b - y) + (e - z) * (e - z) AS d2 FROM p, c)
+# (place, value) of the one number of a centre that isn't 0
+_CENTRES = ((0, 0.0), (0, 0.25), (17, -0.25), (63, 0.5))
+_C = ", ".join(f"({i}, {at}, {v}::DOUBLE)" for i, (at, v) in enumerate(_CENTRES))
+KMEANS_ASSIGN = f"""WITH c(cluster, place, x) AS (VALUES {_C}), p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+f AS (SELECT vec_id, cluster, sum((e - CASE WHEN i = place THEN x ELSE 0 END) * (e - CASE WHEN i = place THEN x ELSE 0 END)) AS d2 FROM p, c GROUP BY 1, 2)
 SELECT vec_id, cluster, round(d2, 6) AS d2 FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY f.d2, cluster) = 1"""
 
 
 def _vectors(spark, d):
-    return read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
 def kmeans_medoids(spark, d):

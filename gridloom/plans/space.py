@@ -10,9 +10,12 @@ from ..config import Camera, Grid, Mapping, MapSize
 from ..functions import pose
 from ..operators import contours, curation, grid, instances, mapstate, morphology, projection, vectors
 from ..operators.stencil import cone, disk, plus, square
-from .tables import HEIGHT, SQL_CELLS, SQL_GRID, SQL_LABELLED, SQL_VALUED, WIDTH, cells, labelled_cells, read, sql_offsets, valued_cells
+from .tables import HEIGHT, SQL_CELLS, SQL_GRID, SQL_LABELLED, SQL_VALUED, WIDTH, cells, labelled_cells, read, sql_offsets, typed_cells, valued_cells
 
 BOX = (HEIGHT, WIDTH)
+#: The type whose parts make the cells of a mask.
+TYPE = "PROMO"
+SQL_TYPED = f"typed AS (SELECT DISTINCT p_size::INT AS r, (p_partkey % 64)::INT AS c FROM part WHERE p_type = '{TYPE}')"
 _IN = "r + dr BETWEEN 0 AND 50 AND c + dc BETWEEN 0 AND 63"
 D1, D2 = sql_offsets("d1", plus()), sql_offsets("d2", disk(2))
 _HOLES = "holes AS (SELECT r, c FROM grid EXCEPT SELECT r, c FROM cells)"
@@ -50,11 +53,21 @@ out AS (SELECT r, c FROM grid EXCEPT SELECT r, c FROM big)
 SELECT r AS "row", c AS "col" FROM (SELECT r, c FROM big EXCEPT SELECT r + dr, c + dc FROM out, d1)"""
 
 
+def denoise(spark, d):
+    return morphology.denoise(cells(spark, d), plus(), *BOX)
+
+
+DENOISE = f"""WITH {SQL_CELLS}, {SQL_GRID}, {D1}, big AS (SELECT DISTINCT r + dr AS r, c + dc AS c FROM cells, d1 WHERE {_IN}),
+out AS (SELECT r, c FROM grid EXCEPT SELECT r, c FROM big), closed AS (SELECT r, c FROM big EXCEPT SELECT r + dr, c + dc FROM out, d1),
+rest AS (SELECT r, c FROM grid EXCEPT SELECT r, c FROM closed), core AS (SELECT r, c FROM closed EXCEPT SELECT r + dr, c + dc FROM rest, d1)
+SELECT DISTINCT r + dr AS "row", c + dc AS "col" FROM core, d1 WHERE {_IN}"""
+
+
 def expand_mask(spark, d):
-    return morphology.expand_mask(cells(spark, d).where("row % 9 = 0"), 2, *BOX)
+    return morphology.expand_mask(typed_cells(spark, d, TYPE), 2, *BOX)
 
 
-EXPAND_MASK = f'WITH {SQL_CELLS}, {D2} SELECT DISTINCT r + dr AS "row", c + dc AS "col" FROM cells, d2 WHERE r % 9 = 0 AND {_IN}'
+EXPAND_MASK = f'WITH {SQL_TYPED}, {D2} SELECT DISTINCT r + dr AS "row", c + dc AS "col" FROM typed, d2 WHERE {_IN}'
 
 
 def sobel(spark, d):
@@ -68,12 +81,16 @@ SELECT r AS "row", c AS "col", gx, gy FROM s WHERE sqrt(gx * gx + gy * gy) > 0.5
 
 
 def frontier(spark, d):
-    return morphology.frontier(cells(spark, d).where("row between 15 and 30 and col < 30"), *BOX, radius=2)
+    """Of a 480 x 480 map for each type of event, where its places are explored."""
+    e = read(spark, d, "events")
+    seen = e.select("event_type", (100 + F.col("event_id") * 7 % 151).cast("int").alias("row"), (120 + F.col("user_id") * 13 % 131).cast("int").alias("col"))
+    return morphology.frontier(seen.distinct(), 480, 480)
 
 
-FRONTIER = f"""WITH {SQL_CELLS}, {SQL_GRID}, {D1}, {D2}, seen AS (SELECT * FROM cells WHERE r BETWEEN 15 AND 30 AND c < 30),
-un AS (SELECT r, c FROM grid EXCEPT SELECT r, c FROM seen), core AS (SELECT r, c FROM un EXCEPT SELECT r + dr, c + dc FROM seen, d2)
-SELECT r AS "row", c AS "col" FROM (SELECT r + dr AS r, c + dc AS c FROM core, d1 WHERE {_IN} EXCEPT SELECT r, c FROM core)"""
+FRONTIER = f"""WITH {sql_offsets('d10', disk(10))}, {D1}, seen AS (SELECT DISTINCT event_type, (100 + event_id * 7 % 151)::INT AS r, (120 + user_id * 13 % 131)::INT AS c FROM events),
+grid AS (SELECT a.range::INT AS r, b.range::INT AS c FROM range(480) a, range(480) b), far AS (SELECT DISTINCT event_type, r + dr AS r, c + dc AS c FROM seen, d10),
+core AS (SELECT event_type, g.r, g.c FROM grid g, (SELECT DISTINCT event_type FROM seen) EXCEPT SELECT * FROM far)
+SELECT event_type, r AS "row", c AS "col" FROM (SELECT event_type, r + dr AS r, c + dc AS c FROM core, d1 WHERE r + dr BETWEEN 0 AND 479 AND c + dc BETWEEN 0 AND 479 EXCEPT SELECT * FROM core)"""
 
 
 def grey_dilate(spark, d):
@@ -108,36 +125,34 @@ def avg_pool(spark, d):
 AVG_POOL = f'WITH {SQL_VALUED} SELECT r // 4 AS "row", c // 4 AS "col", sum(v) / 16.0::DOUBLE AS value FROM valued GROUP BY 1, 2'
 
 
-def _sparse(spark, d):
-    return cells(spark, d).where("(row * 7 + col * 11) % 13 = 0")
-
-
 _RADIUS4 = disk(4)
-_REACH = f"""{SQL_CELLS}, s AS (SELECT r, c, r::BIGINT * 1048576 + c AS code FROM cells WHERE {{0}}),
+# a cell's label is replaced whenever a neighbour's is smaller, until none is
+_REACH = f"""{{0}}, s AS (SELECT r, c, r::BIGINT * 1048576 + c AS code FROM {{2}}),
 {{1}}, e AS (SELECT a.code AS u, b.code AS v FROM s a, o JOIN s b ON b.r = a.r + dr AND b.c = a.c + dc),
-walk(u, v) AS (SELECT code, code FROM s UNION SELECT walk.u, e.v FROM walk JOIN e ON walk.v = e.u),
-comp AS (SELECT s.r, s.c, code, min(v) AS component FROM walk JOIN s ON code = u GROUP BY 1, 2, 3)"""
-_SQL_SPARSE = _REACH.format("(r * 7 + c * 11) % 13 = 0", sql_offsets("o", _RADIUS4))
-_SQL_FOUR = _REACH.format("(r * 3 + c) % 4 > 1", sql_offsets("o", plus()))
+walk(code, component) USING KEY (code) AS (SELECT code, code FROM s UNION
+  SELECT e.v, min(walk.component) FROM walk JOIN e ON walk.code = e.u JOIN recurring.walk AS old ON old.code = e.v WHERE walk.component < old.component GROUP BY e.v),
+comp AS (SELECT s.r, s.c, code, component FROM walk JOIN s USING (code))"""
+_SQL_WIDE = _REACH.format(SQL_CELLS, sql_offsets("o", _RADIUS4), "cells")
+_SQL_FOUR = _REACH.format(SQL_TYPED, sql_offsets("o", plus()), "typed")
 
 
 def cell_components(spark, d):
-    return morphology.components(_sparse(spark, d), _RADIUS4).select("row", "col", "component")
+    return morphology.components(cells(spark, d), _RADIUS4).select("row", "col", "component")
 
 
-CELL_COMPONENTS = f'WITH RECURSIVE {_SQL_SPARSE} SELECT r AS "row", c AS "col", component FROM comp'
+CELL_COMPONENTS = f'WITH RECURSIVE {_SQL_WIDE} SELECT r AS "row", c AS "col", component FROM comp'
 
 
 def goal_component(spark, d):
-    return morphology.largest_component(_sparse(spark, d), _RADIUS4)
+    return morphology.largest_component(cells(spark, d), _RADIUS4)
 
 
-GOAL_COMPONENT = f"""WITH RECURSIVE {_SQL_SPARSE}, best AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
+GOAL_COMPONENT = f"""WITH RECURSIVE {_SQL_WIDE}, best AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
 SELECT r AS "row", c AS "col" FROM comp JOIN best USING (component)"""
 
 
 def component_centres(spark, d):
-    out = morphology.component_centres(cells(spark, d).where("(row * 3 + col) % 4 > 1"), 3)
+    out = morphology.component_centres(typed_cells(spark, d, TYPE), 3)
     return out.select("component", "n", F.round("row", 6).alias("row"), F.round("col", 6).alias("col"))
 
 
@@ -154,19 +169,18 @@ FROM labelled QUALIFY row_number() OVER (PARTITION BY label ORDER BY d2, r, c) =
 
 
 def _objects(spark, d):
-    return labelled_cells(spark, d).where("label % 10 = 3").select(F.col("label").alias("object_id"), "row", "col")
+    return labelled_cells(spark, d).select(F.col("label").alias("object_id"), "row", "col")
 
 
 def viewpoints(spark, d):
-    free = cells(spark, d).where("(row + col) % 3 > 0")
-    return grid.viewpoints(_objects(spark, d), free, Grid()).select("object_id", "yaw_deg", "row", "col", "x", "z")
+    return grid.viewpoints(_objects(spark, d), cells(spark, d), Grid()).select("object_id", "yaw_deg", "row", "col", "x", "z")
 
 
 _SEEN = [(a, b, y) for y in grid.HEADINGS for a, b in cone(y, 10, 2, 8)]
 VIEWPOINTS = f"""WITH {SQL_CELLS}, {SQL_LABELLED}, {sql_offsets('o', _SEEN, 'yaw')},
-seen AS (SELECT DISTINCT label AS object_id, yaw, r - dr AS r, c - dc AS c FROM labelled, o WHERE label % 10 = 3)
+seen AS (SELECT DISTINCT label AS object_id, yaw, r - dr AS r, c - dc AS c FROM labelled, o)
 SELECT object_id, yaw AS yaw_deg, r AS "row", c AS "col", c * 0.25::DOUBLE AS x, r * 0.25::DOUBLE AS z FROM seen JOIN cells USING (r, c)
-WHERE (r + c) % 3 > 0 AND r % 2 = 0 AND c % 2 = 0"""
+WHERE r % 2 = 0 AND c % 2 = 0"""
 
 
 def agent_states(spark, d):
@@ -204,13 +218,13 @@ def footprints(spark, d):
     k = F.col("p_partkey")
     xs = [(0, 0), (0, 1), (2, 0), (2, 2), (1, 0), (1, 2), (3, 0), (3, 1)]
     corner = lambda a, b: F.struct((k % 40 + a * 1.0).alias("x"), F.lit(0.0).alias("y"), (F.col("p_size") * 0.5 + b * 1.0).alias("z"))
-    rows = read(spark, d, "part").where("p_partkey <= 200").select("p_partkey", F.array(*[corner(a, b) for a, b in xs]).alias("corners"))
+    rows = read(spark, d, "part").select("p_partkey", F.array(*[corner(a, b) for a, b in xs]).alias("corners"))
     return grid.footprint(rows, Grid(metres=0.5), 60, 100, ["p_partkey"])
 
 
 # corners 0, 1, 6 and 7 are an upright box of 3 x 1 metres, so its cells are 7 columns of 3 rows
 FOOTPRINTS = """SELECT p_partkey, (round_even(p_size * 0.5 / 0.5, 0)::INT + b.range)::INT AS "row", ((p_partkey % 40) * 2 + a.range)::INT AS "col"
-FROM part, range(7) a, range(3) b WHERE p_partkey <= 200"""
+FROM part, range(7) a, range(3) b"""
 
 
 def relative_poses(spark, d):
@@ -294,9 +308,11 @@ CLIPPED_DEPTHS = f"""WITH {_SQL_FRAMES} SELECT env, r AS "row", c AS "col", grea
 
 
 def _points(spark, d):
-    v = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    return read(spark, d, "embeddings").select(
-        F.col("label").cast("int").alias("label"), (v(0) * 16 + 8).alias("a"), (v(1) * 16 + 8).alias("b"), F.lit(4.0).alias("value")
+    """Each pair of neighbouring numbers of an embedding is a point."""
+    v = lambda i: F.get("embedding", i).cast("double")
+    rows = read(spark, d, "embeddings").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return rows.select(
+        F.col("label").cast("int").alias("label"), (v(F.col("k") * 2) * 16 + 8).alias("a"), (v(F.col("k") * 2 + 1) * 16 + 8).alias("b"), F.lit(4.0).alias("value")
     )
 
 
@@ -305,7 +321,7 @@ def splat(spark, d):
     return out.select("label", F.col("i0").alias("row"), F.col("i1").alias("col"), (F.col("value") + 0.0).alias("value"))
 
 
-SPLAT = """WITH p AS (SELECT label::INT AS label, embedding[1]::DOUBLE * 16 + 8 AS a, embedding[2]::DOUBLE * 16 + 8 AS b FROM embeddings),
+SPLAT = """WITH p AS (SELECT label::INT AS label, embedding[2 * k.range + 1]::DOUBLE * 16 + 8 AS a, embedding[2 * k.range + 2]::DOUBLE * 16 + 8 AS b FROM embeddings, range(32) k),
 k AS (SELECT label, floor(a) + x.range AS i, floor(b) + y.range AS j, (1 - abs(a - (floor(a) + x.range))) * (1 - abs(b - (floor(b) + y.range))) * 4.0 AS w FROM p, range(2) x, range(2) y)
 SELECT label, i::INT AS "row", j::INT AS "col", round_even(sum(w), 0) + 0.0 AS value FROM k WHERE i > 0 AND i < 16 AND j > 0 AND j < 16 GROUP BY 1, 2, 3"""
 
@@ -324,14 +340,17 @@ least(1.0, count(*) FILTER (l_orderkey % 80 BETWEEN 14 AND 28) / 64)::DOUBLE AS
 
 def resampled(spark, d):
     v = valued_cells(spark, d).select("row", "col", (F.col("value") / 8).alias("value"))
-    out = projection.resample(v, [], 64, F.lit(2.25), F.lit(-1.5), F.lit(math.pi / 2))
-    return out.select("row", "col", F.round("value", 7).alias("value")).where("value > 0.00002")
+    out = projection.resample(v, [], 64, F.lit(0.07), F.lit(-0.11), F.radians(F.lit(37.0)))
+    return out.select("row", "col", F.round("value", 6).alias("value")).where("value > 0.0001")
 
 
-RESAMPLED = f"""WITH {SQL_VALUED}, g AS (SELECT a.range::INT AS r, b.range::INT AS c FROM range(64) a, range(64) b),
-s AS (SELECT r, c, 31.5 - (c - 31.5 + 1.5) AS y, (r - 31.5 - 2.25) + 31.5 AS x FROM g),
-n AS (SELECT s.r, s.c, sum(least(1e9, v / 8) * greatest(0, 1 - abs(y - w.r)) * greatest(0, 1 - abs(x - w.c))) AS t FROM s, range(-1, 2) i, range(-1, 2) j JOIN valued w ON w.r = round(y) + i.range AND w.c = round(x) + j.range GROUP BY 1, 2)
-SELECT r AS "row", c AS "col", round(least(1.0::DOUBLE, t), 7) AS value FROM n WHERE t > 0.00002"""
+# for each output cell the place that it reads, and the four cells around it
+_READ = """SELECT a.r, a.c, sum(w.v * (1 - abs(y - w.r)) * (1 - abs(x - w.c))) AS v FROM {at} a, range(2) i, range(2) j
+JOIN {src} w ON w.r = floor(y)::INT + i.range AND w.c = floor(x)::INT + j.range GROUP BY 1, 2"""
+RESAMPLED = f"""WITH {SQL_VALUED}, g AS (SELECT a.range::INT AS r, b.range::INT AS c, (2 * b.range + 1) / 64::DOUBLE - 1 AS u, (2 * a.range + 1) / 64::DOUBLE - 1 AS w FROM range(64) a, range(64) b),
+image AS (SELECT r, c, v / 8 AS v FROM valued), at1 AS (SELECT r, c, (u * cos(radians(37)) - w * sin(radians(37)) + 1) / 2 * 63 AS x, (u * sin(radians(37)) + w * cos(radians(37)) + 1) / 2 * 63 AS y FROM g),
+once AS ({_READ.format(at='at1', src='image')}), at2 AS (SELECT r, c, (u + 0.07::DOUBLE + 1) / 2 * 63 AS x, (w - 0.11::DOUBLE + 1) / 2 * 63 AS y FROM g), twice AS ({_READ.format(at='at2', src='once')})
+SELECT r AS "row", c AS "col", round(least(1.0::DOUBLE, v), 6) AS value FROM twice WHERE v > 0.0001"""
 
 
 def _patches(spark, d):
@@ -361,14 +380,14 @@ MAP_LATEST = f'WITH {_SQL_PATCHES}, m AS (SELECT *, max(step) OVER (PARTITION BY
 
 
 def map_stamps(spark, d):
-    places = read(spark, d, "events").where("event_id < 600").select(
+    places = read(spark, d, "events").select(
         (F.col("user_id") % 5).alias("env"), F.col("event_id").alias("step"), (F.col("event_id") * 7 % 64).cast("int").alias("row"), (F.col("event_id") * 3 % 64).cast("int").alias("col")
     )
     return mapstate.stamps(places, Mapping(explored_radius=3, close_radius=2), 64)
 
 
 MAP_STAMPS = f"""WITH {sql_offsets('s2', square(2))}, {sql_offsets('k3', disk(3))}, {sql_offsets('k2', disk(2))},
-p AS (SELECT user_id % 5 AS env, event_id AS step, (event_id * 7 % 64)::INT AS r, (event_id * 3 % 64)::INT AS c FROM events WHERE event_id < 600),
+p AS (SELECT user_id % 5 AS env, event_id AS step, (event_id * 7 % 64)::INT AS r, (event_id * 3 % 64)::INT AS c FROM events),
 n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY env ORDER BY step DESC) = 1),
 a AS (SELECT env, 2 AS channel, r + dr AS r, c + dc AS c FROM n, s2 UNION SELECT env, 3, r + dr, c + dc FROM p, s2 UNION SELECT env, 1, r + dr, c + dc FROM p, k3 UNION SELECT env, 4, r + dr, c + dc FROM p, k2)
 SELECT env, channel, r AS "row", c AS "col", 1.0::DOUBLE AS value FROM a WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63"""
@@ -380,7 +399,7 @@ def only_been_close(spark, d):
 
 
 ONLY_BEEN_CLOSE = f"""WITH {_SQL_PATCHES}, m AS (SELECT env, CASE channel WHEN 2 THEN 4 ELSE channel END AS channel, r, c, max(v) AS v FROM p GROUP BY 1, 2, 3, 4)
-SELECT env, channel, r AS "row", c AS "col", v AS value FROM m WHERE channel = 4 OR EXISTS (SELECT 1 FROM m k WHERE k.channel = 4 AND k.v > 0 AND k.env = m.env AND k.r = m.r AND k.c = m.c)"""
+SELECT m.env, m.channel, m.r AS "row", m.c AS "col", CASE WHEN m.channel = 4 THEN m.v ELSE m.v * k.v END AS value FROM m LEFT JOIN m k ON k.channel = 4 AND k.env = m.env AND k.r = m.r AND k.c = m.c WHERE m.channel = 4 OR k.v IS NOT NULL"""
 
 
 def _windows(spark):
@@ -424,13 +443,20 @@ SELECT env, r AS "row", c AS "col", channel AS category FROM m QUALIFY row_numbe
 
 
 def display_layers(spark, d):
-    p = mapstate.merge(_patches(spark, d)).where("value > 25").withColumn("channel", F.when(F.col("channel") == 2, 3).otherwise(F.col("channel")))
-    goal = p.where("row % 5 = 0").select("env", "row", "col").distinct()
-    return mapstate.display_layers(p, goal, goal.where("col % 7 = 0"))
+    p = mapstate.merge(_patches(spark, d)).withColumn("value", F.col("value") / 50)
+    world = p.where("channel < 2 or value > 0.98").withColumn("channel", F.when(F.col("channel") == 2, 3).otherwise(F.col("channel")))
+    named = p.where("channel < 2 and value > 0.9").groupBy("env", "row", "col").agg(F.max("channel").alias("category"))
+    goal = p.where("value = 1").select("env", "row", "col").distinct()
+    return mapstate.display_layers(world, named, goal.where("row < 20"), goal.where("row = 30"), 40, 40)
 
 
-DISPLAY_LAYERS = f"""WITH {_SQL_PATCHES}, m AS (SELECT env, channel, r, c, max(v) AS v FROM p GROUP BY 1, 2, 3, 4 HAVING max(v) > 25)
-SELECT env, r AS "row", c AS "col", max(CASE WHEN r % 5 = 0 AND c % 7 = 0 THEN 5 WHEN r % 5 = 0 THEN 4 WHEN channel = 2 THEN 3 WHEN channel = 0 THEN 2 ELSE 1 END) AS layer FROM m GROUP BY 1, 2, 3"""
+DISPLAY_LAYERS = f"""WITH {_SQL_PATCHES}, {sql_offsets('k4', disk(4))}, m AS (SELECT env, channel, r, c, max(v) / 50 AS v FROM p GROUP BY 1, 2, 3, 4),
+goal AS (SELECT DISTINCT env, r, c FROM m WHERE v = 1), named AS (SELECT env, r, c, max(channel) AS k FROM m WHERE channel < 2 AND v > 0.9 GROUP BY 1, 2, 3),
+l AS (SELECT env, r, c, CASE channel WHEN 2 THEN 4 WHEN 0 THEN 2 ELSE 1 END AS layer, NULL::INT AS k FROM m WHERE CASE WHEN channel = 2 THEN v > 0.98 ELSE round_even(v, 0) = 1 END
+  UNION ALL SELECT env, r, c, 3, k FROM named WHERE k <> 0
+  UNION ALL SELECT env, r + dr, c + dc, CASE WHEN r < 20 THEN 5 ELSE 6 END, NULL FROM goal, k4 WHERE (r < 20 OR r = 30) AND r + dr BETWEEN 0 AND 39 AND c + dc BETWEEN 0 AND 39),
+t AS (SELECT env, r, c, max(layer) AS layer FROM l GROUP BY 1, 2, 3)
+SELECT env, r AS "row", c AS "col", layer, max(l.k)::INT AS category FROM t JOIN l USING (env, r, c, layer) GROUP BY 1, 2, 3, 4"""
 
 
 def session_maps(spark, d):
@@ -477,13 +503,15 @@ SELECT env, r AS "row", c AS "col", channel FROM m QUALIFY row_number() OVER (PA
 
 def _ids(spark, d):
     part = read(spark, d, "part")
-    rows = part.select((F.col("p_partkey") % 2).alias("env"), (F.col("p_size") % 3).cast("int").alias("category"), (F.col("p_partkey") % 12 + 1).alias("id"), F.col("p_size").cast("int").alias("row"), (F.col("p_partkey") % 64).cast("int").alias("col"))
-    return rows.where("row between 5 and 9").distinct(), rows.where("row between 11 and 13 and id < 9").distinct()
+    rows = part.select((F.col("p_partkey") % 2).alias("env"), (F.col("p_size") % 3).cast("int").alias("category"), (F.col("p_partkey") % 12 + 1).alias("id"), F.col("p_size").cast("int").alias("row"), (F.col("p_partkey") % 64).cast("int").alias("col"), "p_type")
+    local = F.col("p_type") == TYPE
+    return rows.where(local).drop("p_type").distinct(), rows.where(~local).drop("p_type").distinct()
 
 
-_SQL_IDS = f"""q AS (SELECT DISTINCT p_partkey % 2 AS env, (p_size % 3)::INT AS category, p_partkey % 12 + 1 AS id, p_size::INT AS r, (p_partkey % 64)::INT AS c FROM part),
-loc AS (SELECT * FROM q WHERE r BETWEEN 5 AND 9), wor AS (SELECT * FROM q WHERE r BETWEEN 11 AND 13 AND id < 9), {sql_offsets('k', disk(3))},
-hit AS (SELECT loc.env, loc.category, loc.id AS local_id, min(wor.id) AS g FROM loc, k JOIN wor ON wor.env = loc.env AND wor.category = loc.category AND wor.r = loc.r + dr AND wor.c = loc.c + dc GROUP BY 1, 2, 3),
+_SQL_IDS = f"""q AS (SELECT DISTINCT p_partkey % 2 AS env, (p_size % 3)::INT AS category, p_partkey % 12 + 1 AS id, p_size::INT AS r, (p_partkey % 64)::INT AS c, p_type = '{TYPE}' AS local FROM part),
+loc AS (SELECT env, category, id, r, c FROM q WHERE local), wor AS (SELECT env, category, id, r, c FROM q WHERE NOT local), {sql_offsets('k', disk(3))},
+grown AS (SELECT env, category, r + dr AS r, c + dc AS c, max(id) AS id FROM loc, k WHERE {_IN} GROUP BY 1, 2, 3, 4),
+hit AS (SELECT env, category, grown.id AS local_id, min(wor.id) AS g FROM grown JOIN wor USING (env, category, r, c) GROUP BY 1, 2, 3),
 i AS (SELECT DISTINCT env, category, id AS local_id FROM loc), top AS (SELECT env, max(id) AS t FROM wor GROUP BY 1),
 ids AS (SELECT env, category, local_id, coalesce(g, coalesce(t, 0) + sum((g IS NULL)::INT) OVER (PARTITION BY env ORDER BY category, local_id))::BIGINT AS global_id, g IS NULL AS "new" FROM i LEFT JOIN hit USING (env, category, local_id) LEFT JOIN top USING (env))"""
 
@@ -541,14 +569,14 @@ SELECT vec_id, i, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id))
 
 
 def lines(spark, d):
-    rows = read(spark, d, "part").where("p_partkey <= 100").select("p_partkey", (F.col("p_partkey") % 30).cast("int").alias("r0"), F.lit(3).alias("c0"), (F.col("p_size")).cast("int").alias("r1"), (F.col("p_partkey") % 64).cast("int").alias("c1"))
+    rows = read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 30).cast("int").alias("r0"), F.lit(3).alias("c0"), (F.col("p_size")).cast("int").alias("r1"), (F.col("p_partkey") % 64).cast("int").alias("c1"))
     return grid.line_cells(rows, ["p_partkey"])
 
 
-LINES = """WITH p AS (SELECT p_partkey, round_even((p_partkey % 30) + (p_size - p_partkey % 30) * (i.range / 25), 0)::INT AS r, round_even(3 + (p_partkey % 64 - 3) * (i.range / 25), 0)::INT AS c FROM part, range(26) i WHERE p_partkey <= 100)
+LINES = """WITH p AS (SELECT p_partkey, round_even((p_partkey % 30) + (p_size - p_partkey % 30) * (i.range / 25), 0)::INT AS r, round_even(3 + (p_partkey % 64 - 3) * (i.range / 25), 0)::INT AS c FROM part, range(26) i)
 SELECT DISTINCT p_partkey, (r + a.range)::INT AS "row", (c + b.range)::INT AS "col" FROM p, range(-1, 1) a, range(-1, 1) b"""
 
-_NAMES = """dilate erode opening closing expand_mask sobel frontier grey_dilate median_blur max_pool avg_pool cell_components
+_NAMES = """dilate erode opening closing denoise expand_mask sobel frontier grey_dilate median_blur max_pool avg_pool cell_components
 goal_component component_centres nearest_cell viewpoints agent_states world_cells local_windows footprints relative_poses
 integrated_poses normalized_angles quaternions depth_points clipped_depths splat height_bands resampled map_max_merge map_latest
 map_stamps only_been_close write_back map_features semantic_map display_layers session_maps instance_views mask_areas

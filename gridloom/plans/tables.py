@@ -22,6 +22,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_size").cast("int").alias("row"), (F.col("p_partkey") % WIDTH).cast("int").alias("col")).distinct()
 
 
+def typed_cells(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
+    """The cells of the parts of some types."""
+    part = read(spark, sf_dir, "part").where(F.col("p_type").isin(*types))
+    return part.select(F.col("p_size").cast("int").alias("row"), (F.col("p_partkey") % WIDTH).cast("int").alias("col")).distinct()
+
+
 def labelled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row, col, label): the last digits of the brand, the largest where parts meet."""
     part = read(spark, sf_dir, "part")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.annotations import class_maps, document
+from ..operators.annotations import class_maps, document_rows
 
 
 def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
@@ -36,8 +37,42 @@ def dataset_yaml(root: str, maps: dict[str, dict[int, str]]) -> str:
 
 
 def write_document(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> None:
-    """The annotation document as one JSON text file in a new folder."""
-    document(images, annotations, categories).coalesce(1).write.mode("errorifexists").text(path)
+    """The annotation document as one new JSON text file, each list by id.
+
+    Tasks write sorted parts of the lists beside it; the driver strings their bytes together
+    through a small buffer, so no list is held anywhere.
+    """
+    spark = images.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(conf)
+    if files.exists(place):
+        raise FileExistsError(path)
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    lists = {"images": images, "annotations": annotations, "categories": categories}
+    try:
+        for name, rows in lists.items():
+            entries = document_rows(rows)
+            first = entries.agg(F.min("id")).first()[0]
+            text = F.when(F.col("id") == F.lit(first), F.col("entry")).otherwise(F.concat(F.lit(","), F.col("entry")))
+            entries.orderBy("id").select(text.alias("value")).write.text(f"{parts}/{name}")
+        out = files.create(place, False)
+        try:
+            for i, name in enumerate(lists):
+                out.write(bytearray(f'{"," if i else "{"}"{name}": [\n'.encode()))
+                found = files.listStatus(jvm.org.apache.hadoop.fs.Path(f"{parts}/{name}"))
+                for part in sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-")):
+                    stream = files.open(jvm.org.apache.hadoop.fs.Path(part))
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+                    finally:
+                        stream.close()
+                out.write(bytearray(b"]"))
+            out.write(bytearray(b"}\n"))
+        finally:
+            out.close()
+    finally:
+        files.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
 
 
 def write_tables(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> None:
@@ -47,12 +82,13 @@ def write_tables(path: str, images: DataFrame, annotations: DataFrame, categorie
 
 
 def save_dataset(folder: str, splits: dict[str, tuple[DataFrame, DataFrame]], categories: DataFrame, classes: DataFrame, buckets: DataFrame) -> None:
-    """dataset.yaml, and annotations/<split>.json of each split's images and annotations.  Images
+    """dataset.yaml, and <data set>_<split>.json of each split's images and annotations.  Images
     that were not chosen are never written, so none has to be deleted."""
     spark = classes.sparkSession
     guard_new(spark, folder)
+    base = folder.rstrip("/").rsplit("/", 1)[-1]
     for split, (images, annotations) in splits.items():
-        write_document(f"{folder}/annotations/{split}.json", images, annotations, categories)
+        write_document(f"{folder}/{base}_{split}.json", images, annotations, categories)
     _write_text(spark, f"{folder}/dataset.yaml", dataset_yaml(folder, class_maps(classes, buckets)))
 
 
@@ -89,11 +125,25 @@ def write_images(rows: DataFrame, folder: str, stem: str = "stem", content: str
     return rows.select(F.col(stem), F.col(content)).mapInArrow(run, "file string")
 
 
-def register(spark: SparkSession, folder: str, records: dict[str, DataFrame]) -> dict[str, str]:
-    """A view for each split, read when it is queried; the views' names by split."""
+def register(spark: SparkSession, folder: str, records: dict[str, DataFrame], classes: dict[str, dict[int, str]] | None = None, categories: dict[str, DataFrame] | None = None) -> dict[str, dict]:
+    """A view for each split, read when it is queried, and what is known of it.
+
+    The result has for each split its view, json_file and image_root, and, where given: classes,
+    the names in the order of their indices, and frequency, a letter for each name, from the maps
+    of dataset.yaml; contiguous_ids, the place of each category id among all, from the document's
+    categories (id, ..).  The driver holds an entry for each class.
+    """
     base = folder.rstrip("/").rsplit("/", 1)[-1]
-    names = {}
+    out = {}
     for split, rows in records.items():
-        names[split] = "".join(c if c.isalnum() else "_" for c in f"{base}_{split}")
-        rows.createOrReplaceTempView(names[split])
-    return names
+        full = f"{base}_{split}"
+        view = "".join(c if c.isalnum() else "_" for c in full)
+        rows.createOrReplaceTempView(view)
+        out[split] = {"view": view, "json_file": f"{folder}/{full}.json", "image_root": f"{folder}/{split}"}
+        if classes:
+            out[split]["classes"] = [n for _, n in sorted(classes["classes"].items())]
+            out[split]["frequency"] = {n: b[0] for b in ("rare", "common", "frequent") for n in classes.get(f"classes_{b}", {}).values()}
+        if categories:
+            ids = sorted(r.id for r in categories[split].select("id").distinct().collect())
+            out[split]["contiguous_ids"] = {v: i for i, v in enumerate(ids)}
+    return out

@@ -47,10 +47,18 @@ def test_dataset_round_trip(spark, tmp_path):
     folder = f"{tmp_path}/set"
     sinks.save_dataset(folder, {"test": (images, notes)}, kinds, classes, buckets)
     assert 'classes_frequent:\n  0: "chair"' in (tmp_path / "set/dataset.yaml").read_text()
-    records = readers.detection_records(spark, f"{folder}/annotations/test.json", "/root")
+    records = readers.detection_records(spark, f"{folder}/set_test.json", "/root")
     got = {r.image_id: r for r in records.collect()}
     assert got[0].file_name == "/root/images/a.jpg" and got[0].annotations[0].contiguous_id == 0 and got[1].annotations == []
-    assert sinks.register(spark, folder, {"test": records}) == {"test": "set_test"}
+    written = json.loads((tmp_path / "set/set_test.json").read_text())
+    assert [i["id"] for i in written["images"]] == [0, 1] and written["annotations"][0]["bbox"] == [1.0, 2.0, 3.0, 4.0]
+    assert sorted(p.name for p in (tmp_path / "set").iterdir() if not p.name.startswith(".")) == ["dataset.yaml", "set_test.json"]
+    maps = {"classes": {1: "bed", 0: "chair"}, "classes_frequent": {0: "chair"}, "classes_rare": {1: "bed"}}
+    known = sinks.register(spark, folder, {"test": records}, maps, {"test": kinds.union(kinds.selectExpr("id - 6", "name", "frequency"))})
+    assert known == {"test": {
+        "view": "set_test", "json_file": f"{folder}/set_test.json", "image_root": f"{folder}/test",
+        "classes": ["chair", "bed"], "frequency": {"bed": "r", "chair": "f"}, "contiguous_ids": {3: 0, 9: 1},
+    }}
     assert spark.table("set_test").count() == 2
     assert readers.datasets(spark, str(tmp_path)) == ["set"]
     with pytest.raises(FileExistsError):

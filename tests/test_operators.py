@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.config import Camera, Grid, Mapping, MapSize
 from gridloom.functions import numbers, pose, strings
 from gridloom.operators import annotations, contours, curation, grid, instances, lookup, mapstate, morphology, projection, sampling, vectors
-from gridloom.operators.stencil import cone, disk, plus
+from gridloom.operators.stencil import cone, disk, plus, square
 
 
 def rows(df):
@@ -223,19 +223,136 @@ def test_map_state(spark):
     assert rows(mapstate.goal_or_frontier(goal, rim)) == [(0, 1, 1), (1, 9, 9)]
 
 
-def test_resample_keeps_an_unmoved_image(spark):
-    df = spark.createDataFrame([(r, c, (r * 5 + c) / 50) for r in range(5) for c in range(5)], "row int, col int, value double")
-    got = projection.resample(df, [], 5, F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    assert {(r.row, r.col): r.value for r in got.collect()} == pytest.approx({(r.row, r.col): r.value for r in df.where("value > 0").collect()})
-
-
-def test_document(spark):
-    images = spark.createDataFrame([(0, "a.jpg"), (1, "b.jpg")], "id long, file_name string")
-    notes = spark.createDataFrame([(1, 0)], "id long, image_id long")
-    kinds = spark.createDataFrame([(1, "chair", "f")], "id long, name string, frequency string")
-    got = json.loads(annotations.document(images, notes, kinds).first()[0])
-    assert [i["file_name"] for i in got["images"]] == ["a.jpg", "b.jpg"] and got["categories"][0]["frequency"] == "f"
-
+def _plain_pass(image, angle, x, y):
+    """Each output cell reads its place, zero outside."""
+    n = len(image)
+    out = [[0.0] * n for _ in range(n)]
+    for r in range(n):
+        for c in range(n):
+            u, v = (2 * c + 1) / n - 1, (2 * r + 1) / n - 1
+            at_c = (u * math.cos(angle) - v * math.sin(angle) + x + 1) / 2 * (n - 1)
+            at_r = (u * math.sin(angle) + v * math.cos(angle) + y + 1) / 2 * (n - 1)
+            for i in (math.floor(at_r), math.floor(at_r) + 1):
+                for j in (math.floor(at_c), math.floor(at_c) + 1):
+                    if 0 <= i < n and 0 <= j < n:
+                        out[r][c] += image[i][j] * (1 - abs(at_r - i)) * (1 - abs(at_c - j))
+    return out
+
+
+def test_resample_is_two_plain_passes(spark):
+    n = 7
+    image = [[((r * n + c) * 5 % 11) / 11 for c in range(n)] for r in range(n)]
+    df = spark.createDataFrame([(k, r, c, image[r][c]) for k in range(4) for r in range(n) for c in range(n) if image[r][c]], "k int, row int, col int, value double")
+    turns = [(0.0, 0.0, 0.0), (0.3, -0.2, 0.7), (-0.9, 0.4, 2.5), (0.05, 0.0, -math.pi / 2)]
+    pick = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in turns]), F.col("k") + 1)
+    got = {(r.k, r.row, r.col): r.value for r in projection.resample(df, ["k"], n, pick(0), pick(1), pick(2)).collect()}
+    for k, (x, y, a) in enumerate(turns):
+        want = _plain_pass(_plain_pass(image, a, 0.0, 0.0), 0.0, x, y)
+        for r in range(n):
+            for c in range(n):
+                assert abs(got.get((k, r, c), 0.0) - min(1.0, want[r][c])) < 1e-9
+
+
+def test_erosion_by_the_rim(spark):
+    import random
+
+    rng = random.Random(1)
+    cells = {(k, r, c) for k in range(2) for r in range(20) for c in range(17) if rng.random() < 0.9}
+    df = spark.createDataFrame(sorted(cells), "k int, row int, col int")
+    for offsets in (disk(2), square(1), [(0, 1), (2, 0)]):
+        got = {tuple(r) for r in morphology.erode(df, offsets, 20, 17).collect()}
+        want = {(k, r, c) for k, r, c in cells if all((k, r - a, c - b) in cells or not (0 <= r - a < 20 and 0 <= c - b < 17) for a, b in offsets)}
+        assert got == want
+
+
+def test_denoise_closes_first(spark):
+    df = spark.createDataFrame([(r, c) for r in range(9) for c in range(9) if (r, c) not in ((4, 4), (4, 5))] + [(2, 14)], "row int, col int")
+    got = {tuple(r) for r in morphology.denoise(df, square(1), 20, 20).collect()}
+    assert got == {(r, c) for r in range(9) for c in range(9)}
+
+
+def test_association_lets_the_largest_label_win(spark):
+    local = spark.createDataFrame([(0, 1, 2, 5, 5), (0, 1, 9, 5, 6)], "env long, category int, id long, row int, col int")
+    world = spark.createDataFrame([(0, 1, 4, 5, 8), (0, 1, 3, 5, 3)], "env long, category int, id long, row int, col int")
+    got = {r.local_id: (r.global_id, r.new) for r in instances.associate(local, world, 20, 20, radius=2).collect()}
+    assert got == {9: (4, False), 2: (3, False)}
+    near = spark.createDataFrame([(0, 1, 4, 5, 4)], "env long, category int, id long, row int, col int")
+    got = {r.local_id: (r.global_id, r.new) for r in instances.associate(local, near, 20, 20, radius=2).collect()}
+    assert got == {9: (4, False), 2: (5, True)}
+
+
+def test_blacklisted_disks_have_their_own_radius(spark):
+    from gridloom.config import BLACKLISTED, Mapping
+    from gridloom.operators import mapstate
+
+    places = spark.createDataFrame([(0, 1, 30, 30)], "env long, step long, row int, col int")
+    out = mapstate.stamps(places, Mapping(explored_radius=2, close_radius=3, blacklist_radius=1), 60, blacklist=places.drop("step"))
+    assert out.where(F.col("channel") == BLACKLISTED).count() == 5
+
+
+def test_only_been_close_multiplies(spark):
+    from gridloom.config import BEEN_CLOSE, EXPLORED, OBSTACLE, VISITED
+    from gridloom.operators import mapstate
+
+    rows = [(0, OBSTACLE, 1, 1, 0.5), (0, EXPLORED, 1, 1, 1.0), (0, BEEN_CLOSE, 1, 1, 0.5), (0, EXPLORED, 2, 2, 1.0), (0, VISITED, 2, 2, 1.0)]
+    got = mapstate.only_been_close(spark.createDataFrame(rows, "env long, channel int, row int, col int, value double"))
+    assert {tuple(r) for r in got.collect()} == {(0, OBSTACLE, 1, 1, 0.25), (0, EXPLORED, 1, 1, 0.5), (0, BEEN_CLOSE, 1, 1, 0.5), (0, VISITED, 2, 2, 1.0)}
+
+
+def test_a_class_counts_once_in_a_balanced_sample(spark):
+    rows_ = [(i, ["a"] * (1 + i % 3)) for i in range(90)] + [(100 + i, ["b"]) for i in range(10)]
+    once = [(i, sorted(set(c))) for i, c in rows_]
+    pick = lambda r: {x.key for x in sampling.balanced_sample(spark.createDataFrame(r, "key long, classes array<string>"), 16, seed=2).collect()}
+    assert pick(rows_) == pick(once)
+
+
+def test_planar_state(spark):
+    import numpy as np
+
+    from gridloom.functions import pose
+
+    rows_ = [(1.0, 2.0, 3.0, math.cos(h / 2), 0.0, math.sin(h / 2), 0.0, h) for h in (-3.0, -1.2, 0.0, 0.4, 2.9)]
+    df = spark.createDataFrame(rows_, "px double, py double, pz double, w double, x double, y double, z double, h double")
+    q = F.struct("w", "x", "y", "z")
+    got = df.select("h", pose.planar_state(F.struct(F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")), q).alias("s")).collect()
+    for r in got:
+        assert (r.s.x, r.s.y) == (-3.0, -1.0) and abs(np.angle(np.exp(1j * (r.s.heading - r.h)))) < 1e-7
+
+
+def test_look_at(spark):
+    import numpy as np
+
+    from gridloom.functions import pose
+
+    rng = np.random.default_rng(3)
+    frames = []
+    for _ in range(12):
+        ahead = [v / np.linalg.norm(v) for v in rng.normal(size=(2, 3))]
+        up = [np.cross(np.cross(a, u), a) for a, u in zip(ahead, rng.normal(size=(2, 3)), strict=True)]
+        frames.append([*map(float, np.concatenate([np.array([0.0, 1.0, 0.0]), np.array([0.0, 0.0, -1.0]), up[1] / np.linalg.norm(up[1]), ahead[1]]))])
+    names = [f"{v}{c}" for v in ("a", "b", "c", "d") for c in "xyz"]
+    df = spark.createDataFrame(frames, names)
+    v = lambda n: F.struct(*[F.col(n + c).alias(c) for c in "xyz"])
+    for r, f in zip(df.select(pose.look_at(v("a"), v("b"), v("c"), v("d")).alias("m")).collect(), frames, strict=True):
+        m = np.array(r.m).reshape(3, 3)
+        assert np.allclose(m @ m.T, np.eye(3), atol=1e-6) and np.linalg.det(m) > 0.99
+        assert np.allclose(m @ f[3:6], f[9:12], atol=2e-3) and np.allclose(m @ f[0:3], f[6:9], atol=2e-3)
+
+def test_document(spark, tmp_path):
+    from gridloom.sources import sinks
+
+    images = spark.createDataFrame([(i, f"{i}.jpg") for i in range(40)], "id long, file_name string").repartition(5)
+    notes = spark.createDataFrame([(1, 0)], "id long, image_id long").limit(0)
+    kinds = spark.createDataFrame([(1, "ch\u00e4ir \"x\"", "f")], "id long, name string, frequency string")
+    sinks.write_document(f"{tmp_path}/d.json", images, notes, kinds)
+    got = json.loads((tmp_path / "d.json").read_text())
+    assert [i["file_name"] for i in got["images"]] == [f"{i}.jpg" for i in range(40)] and got["annotations"] == []
+    assert got["categories"] == [{"id": 1, "name": "ch\u00e4ir \"x\"", "frequency": "f"}]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["d.json"]
+    sinks.write_tables(f"{tmp_path}/t", images, notes, kinds)
+    assert spark.read.parquet(f"{tmp_path}/t/images").count() == 40
+    with pytest.raises(FileExistsError):
+        sinks.write_document(f"{tmp_path}/d.json", images, notes, kinds)
 
 def test_background_and_normalisation(spark):
     df = spark.createDataFrame([("a", [3.0, 4.0])], "class_name string, embedding array<double>")
