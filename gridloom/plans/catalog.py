@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import choose, space
+from . import choose, flow, space
 
-QUERIES = {**choose.QUERIES, **space.QUERIES}
-ORACLES = {**choose.ORACLES, **space.ORACLES}
+QUERIES = {**choose.QUERIES, **space.QUERIES, **flow.QUERIES}
+ORACLES = {**choose.ORACLES, **space.ORACLES, **flow.ORACLES}

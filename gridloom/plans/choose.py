@@ -50,7 +50,12 @@ def area_bin_sample(spark, d):
 
 
 def _area_sql(group: str, area: str, n: int) -> str:
-    return f"""WITH base AS (SELECT {group} AS g, {SQL_KEY} AS k, ({area})::DOUBLE AS a FROM lineitem JOIN part ON l_partkey = p_partkey),
+    return bins_sql(f"SELECT {group} AS g, {SQL_KEY} AS k, ({area})::DOUBLE AS a FROM lineitem JOIN part ON l_partkey = p_partkey", n)
+
+
+def bins_sql(base: str, n: int) -> str:
+    """The sample by area bins of base (g, k, a)."""
+    return f"""WITH base AS ({base}),
 s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY a) - 1 AS r, count(*) OVER (PARTITION BY g) AS n, md5('0:' || k) AS h, md5('1:' || k) AS h2 FROM base),
 k AS (SELECT g, b, (b * (n - 1)) // 10 AS low, least((b * (n - 1)) // 10 + 1, n - 1) AS high, ((b * (n - 1)) % 10) / 10::DOUBLE AS f FROM (SELECT DISTINCT g, n FROM s), range(11) t(b)),
 q AS (SELECT k.g, b, x.a AS lo, y.a AS hi, f FROM k JOIN s x ON x.g = k.g AND x.r = k.low JOIN s y ON y.g = k.g AND y.r = k.high),

@@ -128,7 +128,7 @@ AVG_POOL = f'WITH {SQL_VALUED} SELECT r // 4 AS "row", c // 4 AS "col", sum(v) /
 _RADIUS4 = disk(4)
 # a cell's label is replaced whenever a neighbour's is smaller, until none is
 _REACH = f"""{{0}}, s AS (SELECT r, c, r::BIGINT * 1048576 + c AS code FROM {{2}}),
-{{1}}, e AS (SELECT a.code AS u, b.code AS v FROM s a, o JOIN s b ON b.r = a.r + dr AND b.c = a.c + dc),
+{{1}}, e AS MATERIALIZED (SELECT a.code AS u, b.code AS v FROM s a, o JOIN s b ON b.r = a.r + dr AND b.c = a.c + dc),
 walk(code, component) USING KEY (code) AS (SELECT code, code FROM s UNION
   SELECT e.v, min(walk.component) FROM walk JOIN e ON walk.code = e.u JOIN recurring.walk AS old ON old.code = e.v WHERE walk.component < old.component GROUP BY e.v),
 comp AS (SELECT s.r, s.c, code, component FROM walk JOIN s USING (code))"""
