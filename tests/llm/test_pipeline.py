@@ -104,3 +104,33 @@ def test_null_and_repeated_ids_keep_a_row_of_each_group(spark, tmp_path):
     assert out.columns == docs.columns
     got = Counter((r.doc_id, (r.text or "").lower()) for r in out.collect())
     assert got == Counter([(None, a), (None, b), (7, c), (7, d), (9, e), (10, f), (3, g), (11, h), (None, "")])
+
+
+def test_awkward_rows_in_every_stage(spark, tmp_path):
+    """Null and repeated ids, null texts, copies, and extra columns with names used inside."""
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "re", "tu") for b in ("n", "ra", "so", "vi", "zel")]
+    text = lambda: "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(4))
+    given = [(i, text()) for i in range(60)] + [(None, text()), (None, text()), (7, text()), (3, None), (None, ""), (61, "short")]
+    given += [given[5], given[5], (None, given[9][1])]
+    rows = [(i, t, "en", ("a", None)[k % 2], 0, k, "x", "y", 1.5, "z") for k, (i, t) in enumerate(given)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, id string, fp string, score double, size string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    others = lambda r: (r.doc_id, r.lang, r.source, r.row, r.id, r.fp, r.score, r.size)
+    for name in ("quality_classifier", "line_dedup"):
+        out = stages[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert Counter(map(others, out.collect())) == Counter(map(others, docs.collect())), name  # all labels are 1
+    kept = stages["simhash_near_dedup"](spark, docs, str(tmp_path)).collect()
+    groups = {brute.fingerprint(t) for _, t in given}
+    assert len(kept) == len(groups) and len({r.row for r in kept}) == len(kept)
+    assert all(rows[r.row][0] == r.doc_id and rows[r.row][1] == r.text for r in kept)
+    mixed = [stages["source_mix"](spark, docs.repartition(n), str(tmp_path)).collect() for n in (1, 4)]
+    assert Counter(mixed[0]) == Counter(mixed[1])
+    assert {r.row for r in mixed[0]} <= {k for k, (_, t) in enumerate(given) if t} and all(rows[r.row][1] == r.text for r in mixed[0])
+    coded = stages["byte_bpe"](spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in coded) == Counter((i, brute.sha(t or "")) for i, t in given)
