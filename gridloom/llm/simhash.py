@@ -154,33 +154,36 @@ def near_links(vertices: DataFrame, tau: int = 4) -> DataFrame:
     ).distinct()
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each v of the pairs (v, m) has one m, which is no v itself."""
+    end = lambda x, below: F.struct(F.col(x).alias("x"), F.lit(below).alias("below"), F.lit(1 - below).alias("top"))
+    ends = pairs.select(F.inline(F.array(end("v", 1), end("m", 0))))
+    at = ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("top").alias("top"))
+    return at.where("below + top > 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(vertex, root) of each vertex of edges (a, b); root is its component's smallest vertex.
 
-    Each round is one table in the shared folder; a lost executor costs no earlier round.
+    Each round is one table in the shared folder; a lost executor costs no earlier round.  The
+    rounds end when all pairs form stars; as v > m in each, a star's centre is its smallest vertex.
     """
     now = written(
         edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(),
         label,
     )
-    before = None
-    while True:
-        both = now.union(now.select("m", "v")).toDF("u", "w")
+    pair = lambda a, x, b, y: F.struct(F.col(a).alias(x), F.col(b).alias(y))
+    while not _stars(now):
+        # both ways in one pass, not by a union, which would run what it reads once for each way
+        both = now.select(F.inline(F.array(pair("v", "u", "m", "w"), pair("m", "u", "v", "w"))))
         least = both.groupBy("u").agg(F.least("u", F.min("w")).alias("m"))
+        # repeated pairs stay until the end of the round; there are no more of them than of both
         large = both.join(least, "u").where(F.col("w") > F.col("u")).select(F.col("w").alias("v"), "m").where("v <> m")
-        large = large.distinct()
         lowest = large.groupBy("v").agg(F.min("m").alias("low"))
         pulled = large.join(lowest, "v")
-        small = pulled.select(F.col("v"), F.col("low").alias("m")).union(
-            pulled.where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
-        )
+        own, other = pair("v", "v", "low", "m"), pair("m", "v", "low", "m")
+        small = pulled.select(F.inline(F.when(F.col("m") == F.col("low"), F.array(own)).otherwise(F.array(own, other))))
         now = written(small.distinct(), label)
-        seen = now.agg(
-            F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")), F.count_distinct("v")
-        ).first()
-        if seen == before:
-            break
-        before = seen
     roots = now.select(F.col("m").alias("vertex"), F.col("m").alias("root")).distinct()
     return now.select(F.col("v").alias("vertex"), F.col("m").alias("root")).union(roots)
 
