@@ -22,8 +22,22 @@ POSE = ["row", "col", "yaw_deg"]
 
 def candidate_views(objects: DataFrame, navigable: DataFrame, place: Grid) -> DataFrame:
     """(scene, object_id, class_name, yaw_deg, row, col, x, z): the viewpoints of objects
-    (scene, object_id, class_name, row, col) whose class is known."""
-    return grid.viewpoints(lookup.known_classes(objects, "class_name"), navigable, place)
+    (scene, object_id, class_name, row, col) whose class is known.  Objects are dealt out before
+    each becomes many rows, as a small file of them is read by few tasks."""
+    known = lookup.known_classes(objects, "class_name").repartition("scene", "object_id")
+    return grid.viewpoints(known, navigable, place)
+
+
+def _shown(frames: DataFrame, field: str, min_area: int) -> DataFrame:
+    """(scene, row, col, yaw_deg, field, area): the largest area of each class or object in a frame,
+    if it has min_area pixels.
+
+    Views meet these rows instead of whole frames, whose instances grow with the scene.  Spark's
+    estimates miss the rows that exploding makes, so the hint keeps it from broadcasting them.
+    """
+    one = frames.select("scene", *POSE, F.explode("instances").alias("_i")).select("scene", *POSE, F.col(f"_i.{field}").alias(field), "_i.mask_area")
+    found = one.where(F.col("mask_area") >= min_area).groupBy("scene", *POSE, field).agg(F.max("mask_area").alias("area"))
+    return found.hint("merge")
 
 
 def pose_key() -> Column:
@@ -48,12 +62,11 @@ def detection_set(objects: DataFrame, navigable: DataFrame, frames: DataFrame, c
     """
     views = candidate_views(objects, navigable, place)
     drawn = curation.capped(views.withColumn("k", pose_key()), ["scene", "object_id"], ["k"], rules.candidates_per_object, rules.seed)
-    shown = drawn.join(frames, ["scene", *POSE])
-    own = lambda i: i["class_name"] == F.col("class_name")
-    fit = shown.where(curation.has_instance("instances", own, rules.min_area)).withColumn("area", curation.largest_area("instances", own))
+    fit = drawn.join(_shown(frames, "class_name", rules.min_area), ["scene", *POSE, "class_name"])
     chosen = sampling.area_bins(fit, "class_name", "k", "area", rules.per_class, rules.bins, rules.top_bins, rules.seed)
     prefix = sample_prefix(F.col("class_name"), F.col("scene"), F.col("object_id"))
-    samples = fit.join(chosen, ["class_name", "k"], "left_semi").select("class_name", "scene", "object_id", *POSE, prefix.alias("prefix"), "instances")
+    taken = fit.join(chosen, ["class_name", "k"], "left_semi").join(frames.hint("merge"), ["scene", *POSE])
+    samples = taken.select("class_name", "scene", "object_id", *POSE, prefix.alias("prefix"), "instances")
     known = lookup.known_classes(objects, "class_name").select("scene", "object_id", "class_name").distinct()
     return Detections(samples, curation.frequency_buckets(curation.class_counts(known, "class_name"), classes))
 

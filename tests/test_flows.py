@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.config import BEEN_CLOSE, CURRENT, EXPLORED, OBSTACLE, VISITED, Camera, Curation, Grid, Mapping, MapSize
 from gridloom.operators import flows
 from gridloom.operators.stencil import disk, square
+from gridloom.plans import flow
 
 
 def _plain_pass(image, angle, x, y):
@@ -113,6 +114,43 @@ def test_flows_of_one_scene(spark):
     assert len(e.info.viewpoints) == wanted and e.start_position == e.info.viewpoints[0].position and e.goals[0].radius == 0.0
 
 
+def _broadcast_poses(frame):
+    """Joins on poses that the plan broadcasts a side of."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "yaw_deg" in x]
+
+
+def _crowd(spark):
+    """Objects at one place, frames whose areas a key gives, and the frames as plain lists."""
+    objects = [("s", i, "chair" if i % 3 else "bed", 20, 20) for i in range(9)] + [("s", 0, "bed", 22, 20), ("s", 9, "unknown", 20, 20)]
+    table = spark.createDataFrame(objects, "scene string, object_id long, class_name string, row int, col int")
+    free = spark.createDataFrame([(r, c) for r in range(40) for c in range(40)], "row int, col int")
+    views = [tuple(r) for r in flows.candidate_views(table, free, Grid()).select("scene", "object_id", "class_name", *flows.POSE).collect()]
+    shown = defaultdict(list)
+    for s, i, c, *pose in views:
+        area = (i * 37 + pose[0] * 101 + pose[1] * 53 + pose[2]) % 1500
+        shown[s, *pose] += [(i, c, None if area % 7 == 0 else area), (i + 100, c, area // 2)]
+    rows = [(*k, v) for k, v in shown.items()] + [("s", 20, 20, 0, None), ("s", 20, 20, 30, [])]
+    kind = "scene string, row int, col int, yaw_deg int, instances array<struct<object_id: long, class_name: string, mask_area: long>>"
+    return table, free, spark.createDataFrame(rows, kind), views, shown
+
+
+def test_detection_set_takes_areas_of_whole_frames(spark):
+    objects, free, frames, views, shown = _crowd(spark)
+    most = {(*v[:3], *v[3:]): max((a for _, c, a in shown[v[0], *v[3:]] if c == v[2] and a is not None), default=0) for v in views}
+    want = {k for k, a in most.items() if a >= 900}
+    assert 0 < len(want) < len(views) and any(i[2] is None for v in shown.values() for i in v)
+    classes = objects.select("class_name").distinct()
+    got = flows.detection_set(objects, free, frames, classes, Grid(), Curation(min_area=900, per_class=100_000)).samples.collect()
+    assert sorted((r.scene, r.object_id, r.class_name, r.row, r.col, r.yaw_deg) for r in got) == sorted(want)
+    assert all(sorted(map(str, map(tuple, r.instances))) == sorted(map(str, shown[r.scene, r.row, r.col, r.yaw_deg])) for r in got)
+
+
+def test_detection_set_broadcasts_no_views_or_frames(spark):
+    # files' sizes don't tell how many views or instances come out of them
+    assert not _broadcast_poses(flow.QUERIES["detection_set"](spark, "/root/testdata/sf0.001"))
+
+
 def test_evaluation_counts_overlaps(spark):
     views = spark.createDataFrame([(1, i, i) for i in range(9)] + [(2, i, 20 + i) for i in range(3)], "episode_id long, seq long, frame_id long")
     targets = spark.createDataFrame([(i, 1, 1) for i in (0, 3, 8, 20)], "frame_id long, row long, col long")
