@@ -77,8 +77,7 @@ def episode_set(objects: DataFrame, navigable: DataFrame, frames: DataFrame, sce
     scenes: (scene, scene_idx).  It starts at the first viewpoint, in the order of heading, row
     and column, and its goal is the last one.
     """
-    views = candidate_views(objects, navigable, place).join(frames, ["scene", *POSE])
-    shown = views.where(curation.has_instance("instances", lambda i: i["object_id"] == F.col("object_id"), min_area))
+    shown = candidate_views(objects, navigable, place).join(_shown(frames, "object_id", min_area), ["scene", *POSE, "object_id"], "left_semi")
     posed = shown.join(scenes, "scene").select(
         "scene", "scene_idx", "object_id", *POSE, "x", F.lit(0.0).alias("y"), "z", grid.heading_quaternion(F.col("yaw_deg")).alias("rotation")
     )

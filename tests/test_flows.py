@@ -151,6 +151,23 @@ def test_detection_set_broadcasts_no_views_or_frames(spark):
     assert not _broadcast_poses(flow.QUERIES["detection_set"](spark, "/root/testdata/sf0.001"))
 
 
+def test_episode_set_takes_the_objects_own_areas(spark):
+    objects, free, frames, views, shown = _crowd(spark)
+    want = defaultdict(set)
+    for v in views:
+        if any(i == v[1] and a is not None and a >= 900 for i, _, a in shown[v[0], *v[3:]]):
+            want[v[1]].add((v[5], v[3], v[4]))
+    want = {f"0_obj_id_{k}": sorted(v) for k, v in want.items() if len(v) >= 4}
+    assert want and sum(map(len, want.values())) < len(views)
+    scenes = spark.createDataFrame([("s", 0)], "scene string, scene_idx long")
+    got = flows.episode_set(objects, free, frames, scenes, Grid(), min_area=900).select("episode_id", "info.viewpoints.position").collect()
+    assert {r.episode_id: [(p[2], p[0]) for p in r.position] for r in got} == {k: [(row * 0.25, col * 0.25) for _, row, col in v] for k, v in want.items()}
+
+
+def test_episode_set_broadcasts_no_views_or_frames(spark):
+    assert not _broadcast_poses(flow.QUERIES["episode_set"](spark, "/root/testdata/sf0.001"))
+
+
 def test_evaluation_counts_overlaps(spark):
     views = spark.createDataFrame([(1, i, i) for i in range(9)] + [(2, i, 20 + i) for i in range(3)], "episode_id long, seq long, frame_id long")
     targets = spark.createDataFrame([(i, 1, 1) for i in (0, 3, 8, 20)], "frame_id long, row long, col long")
