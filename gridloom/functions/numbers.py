@@ -26,31 +26,24 @@ def clamp(c: Column, low, high) -> Column:
 
 
 def rank_quantiles(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    """(keys, k, edge): the k-th of bins + 1 linearly interpolated quantiles per key.
+    """(keys, k, edge, n): the k-th of bins + 1 linearly interpolated quantiles of n rows per key.
 
-    Positions are whole numbers over `bins`, so that engines agree to the last bit.
+    Positions are whole numbers over `bins`, so that engines agree to the last bit.  Equal values
+    are counted first, so a task orders the distinct values of a key, and df is read once.
     """
     w = Window.partitionBy(*keys)
-    ranked = df.select(
-        *keys,
-        F.col(value).cast("double").alias("_v"),
-        (F.row_number().over(w.orderBy(value)) - 1).cast("long").alias("_r"),
-    )
-    pos = F.col("k") * (F.col("_n") - 1)
-    asked = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bins))))
-        .withColumn("_low", F.floor(pos / bins))
-        .withColumn("_part", (pos % bins / bins).cast("double"))
-        .withColumn("_high", F.least(F.col("_low") + 1, F.col("_n") - 1))
-        .withColumn("_r", F.explode(F.array_distinct(F.array("_low", "_high"))))
-    )
-    # two ranks for each edge are looked up; no row is copied
-    near = ranked.join(asked, [*keys, "_r"])
-    lo = F.max(F.when(F.col("_r") == F.col("_low"), F.col("_v")))
-    hi = F.max(F.when(F.col("_r") == F.col("_high"), F.col("_v")))
-    return near.groupBy(*keys, "k").agg((lo + (hi - lo) * F.max("_part")).alias("edge"))
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    placed = counts.withColumn("_end", F.sum("_c").over(w.orderBy("_v"))).withColumn("n", F.sum("_c").over(w))
+    pos = lambda k: k * (F.col("n") - 1)
+    low = lambda k: F.floor(pos(k) / bins)
+    high = lambda k: F.least(low(k) + 1, F.col("n") - 1)
+    here = lambda r: (r >= F.col("_end") - F.col("_c")) & (r < F.col("_end"))
+    # the values at two ranks for each edge; no row is copied for other ranks
+    near = placed.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(bins)), lambda k: here(low(k)) | here(high(k)))))
+    k = F.col("k")
+    lo, hi = (F.max(F.when(here(r(k)), F.col("_v"))) for r in (low, high))
+    part = F.max((pos(k) % bins / bins).cast("double"))
+    return near.groupBy(*keys, "k").agg((lo + (hi - lo) * part).alias("edge"), F.max("n").alias("n"))
 
 
 def numbered(df: DataFrame, order: list[Column | str], coarse: Column, name: str, start: int = 0) -> DataFrame:

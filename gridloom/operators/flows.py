@@ -63,9 +63,10 @@ def detection_set(objects: DataFrame, navigable: DataFrame, frames: DataFrame, c
     views = candidate_views(objects, navigable, place)
     drawn = curation.capped(views.withColumn("k", pose_key()), ["scene", "object_id"], ["k"], rules.candidates_per_object, rules.seed)
     fit = drawn.join(_shown(frames, "class_name", rules.min_area), ["scene", *POSE, "class_name"])
-    chosen = sampling.area_bins(fit, "class_name", "k", "area", rules.per_class, rules.bins, rules.top_bins, rules.seed)
+    chosen = sampling.area_binned(fit, "class_name", "k", "area", rules.per_class, rules.bins, rules.top_bins, rules.seed)
     prefix = sample_prefix(F.col("class_name"), F.col("scene"), F.col("object_id"))
-    taken = fit.join(chosen, ["class_name", "k"], "left_semi").join(frames.hint("merge"), ["scene", *POSE])
+    # the few samples are hashed, as frames needn't be sorted for them and mustn't be broadcast
+    taken = chosen.hint("shuffle_hash").join(frames, ["scene", *POSE])
     samples = taken.select("class_name", "scene", "object_id", *POSE, prefix.alias("prefix"), "instances")
     known = lookup.known_classes(objects, "class_name").select("scene", "object_id", "class_name").distinct()
     return Detections(samples, curation.frequency_buckets(curation.class_counts(known, "class_name"), classes))

@@ -23,38 +23,46 @@ def area_bins(rows: DataFrame, group: str, key: str, area: str, num_samples: int
     num_samples // bins rows each, at least one; what is short is filled from their other rows.
     key is unique in a group.  A null area counts as 0.
     """
-    base = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.coalesce(F.col(area), F.lit(0)).cast("double").alias("a"))
-    first, second = hash_order(seed, "k"), hash_order(seed + 1, "k")
-    sized = base.withColumn("n", F.count("*").over(Window.partitionBy("g")))
+    return area_binned(rows, group, key, area, num_samples, num_bins, top_bins, seed).select(group, key)
+
+
+def area_binned(rows: DataFrame, group: str, key: str, area: str, num_samples: int = 20, num_bins: int = 10, top_bins: int = 5, seed: int = 0) -> DataFrame:
+    """The rows that area_bins names.
+
+    rows stands in the plan twice only, for the edges and for the sample, as a plan that repeats a
+    flow for each step fills the driver.  Each row goes with its hash to the ranks it takes part
+    in, of which each task keeps the first ones; a row for each group, its edges, is broadcast.
+    """
+    based = rows.withColumns({"_g": F.col(group), "_k": F.col(key), "_a": F.coalesce(F.col(area), F.lit(0)).cast("double")})
     edges = (
-        rank_quantiles(base, ["g"], "a", num_bins)
-        .groupBy("g")
-        .agg(F.array_sort(F.collect_set("edge")).alias("edges"))
-        .withColumn("m", F.size("edges"))
-        .withColumn("inner", F.when(F.col("m") >= 3, F.slice("edges", 2, F.col("m") - 2)))
+        rank_quantiles(based.select("_g", "_a"), ["_g"], "_a", num_bins)
+        .groupBy("_g")
+        .agg(F.array_sort(F.collect_set("edge")).alias("_edges"), F.max("n").alias("_size"))
+        .withColumn("_m", F.size("_edges"))
+        .withColumn("_inner", F.when(F.col("_m") >= 3, F.slice("_edges", 2, F.col("_m") - 2)))
     )
-    joined = sized.join(edges.select("g", "m", "inner"), "g").withColumn("h", first)
-    uniform = F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))
-    binned = (
-        joined.withColumn("u", uniform)
-        .withColumn("bin", F.when(F.col("m") >= 3, F.size(F.filter("inner", lambda e: e <= F.col("a")))))
-        .withColumn("bins", F.col("m") - 1)
-        .withColumn("kept", F.least("bins", F.lit(top_bins)))
-        .withColumn("per", F.greatest(F.lit(1), F.floor(F.lit(num_samples) / F.greatest("kept", F.lit(1)))))
+    few = (F.col("_size") < num_samples) | (F.col("_m") < 3)  # taken whole, or a uniform sample
+    bins = F.col("_m") - 1
+    per = F.greatest(F.lit(1), F.floor(F.lit(num_samples) / F.greatest(F.least(bins, F.lit(top_bins)), F.lit(1))))
+    at = F.size(F.filter("_inner", lambda e: e <= F.col("_a")))
+    binned = based.join(F.broadcast(edges.select("_g", few.alias("_few"), bins.alias("_bins"), per.alias("_per"), "_inner")), "_g").withColumn("_at", at)
+    first, second = hash_order(seed, "_k"), hash_order(seed + 1, "_k")
+    rank = lambda kind, h, b: F.struct(F.lit(kind).alias("kind"), h.alias("h"), b.cast("int").alias("bin"))
+    none = F.lit(None)
+    ranks = F.when(F.col("_few"), F.array(rank("few", first, none))).when(
+        F.col("_at") >= F.greatest(F.lit(0), F.col("_bins") - top_bins), F.array(rank("main", first, F.col("_at")), rank("rest", second, none))
     )
-    whole = F.col("n") < num_samples
-    plain = ~whole & (F.col("m") < 3)
-    simple = binned.where(whole | (plain & (F.col("u") <= num_samples))).select("g", "k")
-    top = binned.where(~whole & (F.col("m") >= 3) & (F.col("bin") >= F.greatest(F.lit(0), F.col("bins") - top_bins)))
-    top = top.withColumn("r1", F.row_number().over(Window.partitionBy("g", "bin").orderBy("h", "k")))
-    top = top.withColumn("main", F.col("r1") <= F.col("per"))
-    by_group = Window.partitionBy("g")
-    top = top.withColumn("taken", F.sum(F.col("main").cast("int")).over(by_group))
-    order = Window.partitionBy("g", "main").orderBy(F.when(F.col("main"), F.col("bin")), F.when(F.col("main"), F.col("r1")), second, "k")
-    top = top.withColumn("r2", F.row_number().over(order))
-    most = F.when(F.col("main"), F.lit(num_samples)).otherwise(F.lit(num_samples) - F.col("taken"))
-    strata = top.where(F.col("r2") <= most).select("g", "k")
-    return simple.union(strata).select(F.col("g").alias(group), F.col("k").alias(key))
+    ranked = binned.withColumn("_rank", F.explode(ranks)).select(*rows.columns, "_g", "_k", "_per", F.col("_rank.kind").alias("_kind"), F.col("_rank.h").alias("_h"), F.col("_rank.bin").alias("_bin"))
+    # so many of the first ones fill up a sample even if every row of the bins is among them
+    most = num_samples + max(num_samples, top_bins)
+    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("_g", "_kind", "_bin").orderBy("_h", "_k"))).where(F.col("_n") <= most)
+    main, by_group = (F.col("_kind") == "main") & (F.col("_n") <= F.col("_per")), Window.partitionBy("_g")
+    met = ranked.withColumn("_main", F.max(main).over(Window.partitionBy("_g", "_k")))
+    met = met.where((F.col("_kind") == "few") | main | ((F.col("_kind") == "rest") & ~F.col("_main")))
+    met = met.withColumn("_taken", F.sum((F.col("_kind") == "main").cast("int")).over(by_group))
+    met = met.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_kind").orderBy("_bin", "_n")))
+    room = F.when(F.col("_kind") == "rest", F.lit(num_samples) - F.col("_taken")).otherwise(F.lit(num_samples))
+    return met.where(F.col("_r") <= room).select(*rows.columns)
 
 
 def assign_nearest(points: DataFrame, centres: list[list[float]], vector: str = "v") -> DataFrame:

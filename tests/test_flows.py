@@ -151,6 +151,13 @@ def test_detection_set_broadcasts_no_views_or_frames(spark):
     assert not _broadcast_poses(flow.QUERIES["detection_set"](spark, "/root/testdata/sf0.001"))
 
 
+def test_detection_set_keeps_its_plan_small(spark):
+    # the driver holds the plan and a status of each of its stages: views of samples and frames, for the edges
+    # and the sample, and those of the samples' frames
+    plan = flow.QUERIES["detection_set"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < sum("Generate explode" in x and "_o#" in x for x in plan.splitlines()) <= 5
+
+
 def test_episode_set_takes_the_objects_own_areas(spark):
     objects, free, frames, views, shown = _crowd(spark)
     want = defaultdict(set)

@@ -1,5 +1,6 @@
 """Operators against small brute-force versions and worked examples."""
 
+import hashlib
 import json
 import math
 
@@ -86,6 +87,39 @@ def test_area_bins(spark, areas, num, size, least):
     assert rows(sampling.area_bins(df.repartition(3), "g", "k", "a", num_samples=num)) == rows(got)
 
 
+def _plain_area_bins(areas, num, bins, top, seed):
+    """Keys of the sample of one group {key: area}, by its rules."""
+    h = lambda s, k: (hashlib.md5(f"{s}:{k}".encode()).hexdigest(), k)
+    v, n = sorted(areas.values()), len(areas)
+    if n < num:
+        return set(areas)
+    at = lambda r: (v[r // bins], v[min(r // bins + 1, n - 1)], r % bins / bins)
+    edges = sorted({a + (b - a) * f for a, b, f in (at(i * (n - 1)) for i in range(bins + 1))})
+    if len(edges) < 3:
+        return set(sorted(areas, key=lambda k: h(seed, k))[:num])
+    place = {k: sum(e <= a for e in edges[1:-1]) for k, a in areas.items()}
+    kept = range(max(0, len(edges) - 1 - top), len(edges) - 1)
+    main = []
+    for b in kept:
+        main += sorted((k for k in areas if place[k] == b), key=lambda k: h(seed, k))[: max(1, num // min(len(edges) - 1, top))]
+    rest = sorted((k for k in areas if place[k] in kept and k not in main), key=lambda k: h(seed + 1, k))
+    return set(main[:num] + rest[: max(0, num - len(main))])
+
+
+def test_area_bins_by_their_rules_from_few_reads(spark):
+    kinds = {"many": lambda i: i * 7919 % 1009 / 8, "ties": lambda i: i * i % 7, "skew": lambda i: 0 if i % 9 else i, "two": lambda i: i % 50 // 49, "one": lambda i: 3, "null": lambda i: None if i % 3 else i}
+    groups = {(g, n): {f"{g}{i}": f(i) for i in range(n)} for g, f in kinds.items() for n in (1, 6, 7, 23, 200)}
+    table = [(f"{g}{n}", k, None if a is None else float(a)) for (g, n), areas in groups.items() for k, a in areas.items()]
+    df = spark.createDataFrame(table + [(None, "x", 1.0)], "g string, k string, a double")
+    for num, bins, top, seed in ((7, 10, 5, 0), (2, 4, 3, 1), (40, 5, 5, 0)):
+        got = sampling.area_bins(df, "g", "k", "a", num, bins, top, seed)
+        want = {(f"{g}{n}", k) for (g, n), areas in groups.items() for k in _plain_area_bins({k: a or 0.0 for k, a in areas.items()}, num, bins, top, seed)}
+        assert sorted(rows(got)) == sorted(want)
+    # each read is a copy of the rows' whole plan
+    plan = sampling.area_bins(spark.range(9).selectExpr("id % 2 g", "id k", "id a"), "g", "k", "a")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2
+
+
 def test_kmeans(spark):
     points = [(i, [float(i % 3) * 10, float(i // 3) / 10]) for i in range(30)]
     df = spark.createDataFrame(points, "key long, v array<double>")
